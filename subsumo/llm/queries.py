@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets
 
 
 def queries() -> dict:
     return {
         "op4_bpe": bpe.query,
+        "op8_secrets": secrets.query,
     }
 
 
