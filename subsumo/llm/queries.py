@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, chat, extract, secrets
 
 
 def queries() -> dict:
     return {
         "op4_bpe": bpe.query,
+        "op7_extract": extract.query,
         "op8_secrets": secrets.query,
+        "op10_chat": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat": chat.SQL}
