@@ -207,6 +207,9 @@ LABELLED = (
     "-{3*} +{62} +{40} +{33} -{11*}",
     "-{12*} -{1*} +{90} +{44} +{5} +{61} -{25*} -{6*}",
     "-{7*} +h1{3} +{41} -{8*} +{77} +{28} -{2*}",
+    "-{1*} -{1*} +h1{4} +{60} +{1} +{40} -comments{30}",
+    "-{4*} +h1{6} +{80} +{2} +{3} +{52} +{1} footer(-{9})",
+    "-{2*} -{2*} +{38} +{1} +{57} +{4} +{120} -{9*} -{3*}",
     "-ad{40} +{85} +{66} +{2} +{58} -comments{35} -form{8} -{2*} -{3*}",
     "aside(-{50} -{42}) +h1{6} +{29} +{35} +{17} +{64} footer(-{25})",
 )
