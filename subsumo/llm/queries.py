@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, secrets
+from . import bpe, chat, extract, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.query,
         "op4_bpe": bpe.query,
         "op7_extract": extract.query,
         "op8_secrets": secrets.query,
