@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, quality, secrets
+from . import bpe, chat, extract, outliers, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.query,
+        "op2_outliers": outliers.query,
         "op4_bpe": bpe.query,
         "op7_extract": extract.query,
         "op8_secrets": secrets.query,
