@@ -10,9 +10,12 @@ rows, ties and extra columns pass through, an empty table gives an empty table.
 
 from __future__ import annotations
 
-import heapq
 import json
+import sys
+from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import LONGEST_KEPT, ChunkCache, older_half
+from .chunks import LONGEST_KEPT, ChunkCache
 from .common import table
 
 #: The split pattern of the byte-level vocabularies (a fixed value).
@@ -34,17 +37,26 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def pack(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class MergeQueueBPE:
     """A byte-level BPE read from a tokenizers file."""
 
-    def __init__(self, path: str, pieces: int = 200_000):
+    def __init__(self, path: str, entries: int = 900_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
-        pairs = list(pairs)
-        self.rank_of = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
-        self.made = [vocab[a + b] for a, b in pairs]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        #: For each left id the rank by right id.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (left, right) in enumerate(pairs):
+            self.ranks[vocab[left]][vocab[right]] = rank
+        self.made = [vocab[left + right] for left, right in pairs]
         symbols = byte_symbols()
         self.start = [vocab[s] for s in symbols]
         to_byte = {s: b for b, s in enumerate(symbols)}
@@ -52,27 +64,24 @@ class MergeQueueBPE:
         words = {i: bytes(to_byte[c] for c in t) for t, i in vocab.items() if t not in self.special}
         words |= {i: t.encode() for t, i in self.special.items()}
         self.words = [words[i] for i in range(max(words) + 1)]
-        self.pattern = regex.compile(SPLIT)
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces: dict[str, list[int]] = {}
-        self.most_pieces = pieces
-        self.cache = ChunkCache(lambda chunks: map(self.ids, chunks), tuple(self.special))
+        self.pieces = regex.compile(SPLIT).findall
+        self.special_parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
+        self.cache = ChunkCache(lambda chunks: map(self.packed, chunks), tuple(self.special), entries)
 
     def merged(self, piece: bytes) -> list[int]:
-        start, rank_of, made = self.start, self.rank_of, self.made
+        start, ranks, made = self.start, self.ranks, self.made
         ids = [start[b] for b in piece]
         n = len(ids)
         if n < 2:
             return ids
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         # The rank of each symbol with its right neighbour, or none: an entry that differs from it is stale.
-        rank = [rank_of.get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
+        rank = [ranks[a].get(b, -1) for a, b in pairwise(ids)]
         rank.append(-1)
         queue = [r * n + i for i, r in enumerate(rank) if r >= 0]  # by rank, then place
-        heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            r, i = divmod(pop(queue), n)
+            r, i = divmod(heappop(queue), n)
             if rank[i] != r:
                 continue
             j = after[i]
@@ -81,34 +90,37 @@ class MergeQueueBPE:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rank[i] = r = rank_of.get(new << 20 | ids[k], -1)
+                rank[i] = r = ranks[new].get(ids[k], -1)
                 if r >= 0:
-                    push(queue, r * n + i)
+                    heappush(queue, r * n + i)
             else:
                 rank[i] = -1
             h = before[i]
             if h >= 0:
-                rank[h] = r = rank_of.get(ids[h] << 20 | new, -1)
+                rank[h] = r = ranks[ids[h]].get(new, -1)
                 if r >= 0:
-                    push(queue, r * n + h)
+                    heappush(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces = self.pieces
-        for part in self.special_pattern.split(text) if self.special_pattern else [text]:
+    def packed(self, chunk: str) -> bytes:
+        """The ids of a chunk as 32-bit integers; its pieces are looked up like chunks."""
+        if chunk[1:].isalpha() and chunk[0] in " abcdefghijklmnopqrstuvwxyz" and max(chunk) < "\u0250":
+            return pack(self.merged(chunk.encode()))  # letters only: one piece
+        out, kept = [], self.cache.kept
+        for part in self.special_parts(chunk):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(pack([self.special[part]]))
                 continue
-            for piece in self.pattern.findall(part):
-                if (ids := pieces.get(piece)) is None:
-                    ids = self.merged(piece.encode())
+            for piece in self.pieces(part):
+                if (ids := kept.get(piece)) is None:
+                    ids = pack(self.merged(piece.encode()))
                     if len(piece) <= LONGEST_KEPT:
-                        if len(pieces) >= self.most_pieces:
-                            self.pieces = pieces = older_half(pieces)
-                        pieces[piece] = ids
-                out += ids
-        return out
+                        kept[piece] = ids
+                out.append(ids)
+        return b"".join(out)
+
+    def ids(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def text(self, ids: list[int]) -> str:
         words = self.words

@@ -12,8 +12,6 @@ import re
 from collections.abc import Callable, Iterable
 from itertools import islice
 
-import numpy as np
-
 UNSAFE = re.compile(r"[ \n]\s|\x00")
 #: Chunks above this length are not kept.
 LONGEST_KEPT = 48
@@ -25,9 +23,9 @@ def older_half(kept: dict) -> dict:
 
 
 class ChunkCache:
-    """`encode_chunks` maps a list of texts to lists of ids; at most `entries` short chunks are kept."""
+    """`encode_chunks` maps a list of texts to their ids as little-endian 32-bit integers; about `entries` short chunks are kept."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], Iterable], specials: tuple[str, ...] = (), entries: int = 700_000):
+    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[bytes]], specials: tuple[str, ...] = (), entries: int = 700_000):
         self.encode_chunks, self.specials, self.entries = encode_chunks, specials, entries
         self.kept: dict[str, bytes] = {}
 
@@ -48,7 +46,7 @@ class ChunkCache:
                 if len(kept) > self.entries:
                     self.kept = kept = older_half(kept)
                 missing = list({c for c in chunks if c not in kept})
-                fresh = {c: np.array(ids, "<u4").tobytes() for c, ids in zip(missing, self.encode_chunks(missing), strict=True)}
+                fresh = dict(zip(missing, self.encode_chunks(missing), strict=True))
                 kept.update((c, b) for c, b in fresh.items() if len(c) <= LONGEST_KEPT)
                 out.append(b"".join([kept[c] if c in kept else fresh[c] for c in chunks]))
         return out
