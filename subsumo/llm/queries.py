@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, outliers, quality, secrets
+from . import bpe, chat, extract, outliers, packing, quality, secrets, sstable, topk
 
 
 def queries() -> dict:
@@ -10,11 +10,14 @@ def queries() -> dict:
         "op1_quality": quality.query,
         "op2_outliers": outliers.query,
         "op4_bpe": bpe.query,
+        "op5_topk": topk.query,
+        "op6_sstable": sstable.query,
         "op7_extract": extract.query,
         "op8_secrets": secrets.query,
+        "op9_packing": packing.query,
         "op10_chat": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": chat.SQL}
+    return {"op5_topk": topk.SQL, "op10_chat": chat.SQL}
