@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, outliers, packing, quality, secrets, sstable, topk
+from . import bpe, chat, extract, jaccard, outliers, packing, quality, secrets, sstable, topk
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.query,
         "op2_outliers": outliers.query,
+        "op3_jaccard": jaccard.query,
         "op4_bpe": bpe.query,
         "op5_topk": topk.query,
         "op6_sstable": sstable.query,
