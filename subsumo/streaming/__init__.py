@@ -1,0 +1 @@
+"""Discovery is a batch computation; nothing here runs on streams."""
