@@ -10,8 +10,8 @@ partners): short sets get few segments with deletions, long ones many exact ones
 
 Equal word sequences are one class, joined through its representative. In the group of a key every member is compared
 with a pivot only; links found so far merge members into components, and members of other components are compared in
-further rounds with further pivots, small groups at once, until every group's members are in one component or
-compared with each other. So all pairs that a key brings together are decided, but a group of copies costs one comparison each.
+a task of their own, if the group is bounded, or in rounds with further pivots (of its rarest components first),
+until every group's members are in one component or compared with each other. So all pairs that a key brings together are decided, but a group of copies costs one comparison each.
 A pair is verified on the shingles of its texts.
 
 Texts that are null or without words have no shingles and link with nothing. Components take the smallest non-null
@@ -21,6 +21,7 @@ table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,10 @@ LEAST = 90
 WIDTH = 3
 #: Chance that an element of a segment agrees in two unrelated sets, and the number of sets, of the cost model.
 AGREEMENT, PARTNERS = 0.3, 1e4
-#: Groups of up to SMALL members are compared pair by pair after the first round, larger ones with PIVOTS members a round.
-SMALL, PIVOTS = 16, 8
+#: Groups of up to SMALL members are decided within a task after the first round, larger ones with PIVOTS members a round.
+SMALL, PIVOTS = 2048, 32
+#: Columns of the incidence matrix that are multiplied at once.
+COLUMNS = 4096
 #: Up to so many candidates (9 bytes each) are broadcast to filter the texts.
 BROADCAST_IDS = 2_000_000
 #: The same of pairs of doc_id and digest (about 100 bytes each).
@@ -275,22 +278,93 @@ def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
         if open_.isEmpty():
             return found
         small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
+        decided = links_of(in_group_links(small, texts), texts)
         chosen = pivots(large)
-        sides = []
-        for left, right in ((small, small), (chosen, large)):
-            a, b = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), right.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
-            met = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b")))
-            sides.append(met.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")))
-        pairs = saved(sides[0].unionByName(sides[1]).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        a, b = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), large.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
+        met = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b")))
+        pairs = saved(met.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(pairs)
-        links = links.unionByName(links_of(pairs, texts))
+        links = links.unionByName(decided)
+        if not pairs.isEmpty():
+            links = links.unionByName(links_of(pairs, texts))
         rest = saved(large.join(chosen.select("key", "uid"), ["key", "uid"], "left_anti").select("key", "exact", "uid", "n"), "rest")
 
 
+def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+    """Links between the sets (of hashes) of a group that join its components, at most one fewer than there are sets."""
+    g = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(g), sizes)
+    shared = np.bincount(column) > 1  # others are in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((g, g), np.float32)  # exact below 2**24
+    for first in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((g, COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - first] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    i, j = np.nonzero(np.triu(100 * common >= LEAST * (sizes[:, None] + sizes[None, :] - common), 1))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        p, q = find(labels[x]), find(labels[y])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            found.append((x, y))
+    return found
+
+
+def in_group_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join components within the groups of `members` (key, uid, label), each group decided by one task.
+
+    Found on the shingles' hashes; the caller verifies what is found on the texts.
+    """
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, labels, sets, known = None, [], [], [], {}
+
+        def found() -> pa.RecordBatch:
+            pairs = [sorted((ids[x], ids[y])) for x, y in spanning_links(sets, labels)] if len(set(labels)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, uid, label, text in zip(*(batch[c].to_pylist() for c in ("key", "uid", "label", "text")), strict=True):
+                if key != now and ids:
+                    yield found()
+                    ids, labels, sets = [], [], []
+                now = key
+                if uid not in known:
+                    if len(known) >= 2 * SMALL:
+                        known.clear()
+                    known[uid] = hashed_set(words_of(text))
+                ids.append(uid)
+                labels.append(label)
+                sets.append(known[uid])
+        if ids:
+            yield found()
+
+    rows = members.select("key", "uid", "label").join(texts, "uid").repartition("key").sortWithinPartitions("key")
+    return saved(rows.mapInArrow(decide, "a long, b long").distinct(), "decided")
+
+
 def pivots(large: DataFrame) -> DataFrame:
-    """The first PIVOTS members of each group, whole subsets first."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("exact"), "uid"))
-    return large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
+    """The first PIVOTS members of each group, those of its rarest components first: once they are compared with all
+    others, a group of one large component and some strays is settled."""
+    large = large.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("key", "label")))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("same", F.desc("exact"), "uid"))
+    return large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank", "same")
 
 
 def joined(docs: DataFrame) -> DataFrame:

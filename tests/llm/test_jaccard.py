@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from subsumo.llm import jaccard
 from subsumo.llm.components import components
@@ -74,8 +75,10 @@ def documents(seed):
     return rows
 
 
-def test_equals_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 6)
+@pytest.mark.parametrize("small", [jaccard.SMALL, 6])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     rows = documents(1)
     spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, uid int, label string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, jaccard.query(spark, str(tmp_path)).collect()), key=str)
