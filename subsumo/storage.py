@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(maxsize=1)
+def own_folder() -> str:
+    """A folder of this process, for local sessions; it goes with the process."""
+    path = tempfile.mkdtemp(prefix="subsumo-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; an own one only where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or own_folder()).rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written in the folder of spark.checkpoint.dir and read again; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(folder or 'file://' + tempfile.mkdtemp(prefix='subsumo-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """`df` written in the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
