@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import implied, size
 from .conditions import structs
 from .dictionary import hash_groups
 
@@ -48,3 +49,10 @@ def group_load(captures: DataFrame) -> DataFrame:
     sums = sizes.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(square), F.lit(0)).alias("pairs"))
     average = F.col("pairs") / F.col("groups")
     return sums.select("groups", "pairs", average.alias("average_pairs"), F.round(F.sqrt(average)).cast("long").alias("block"))
+
+
+def shape_counts(cinds: DataFrame) -> DataFrame:
+    """(dep, ref, cinds, support, trivial): dependencies and their support by the sizes of their conditions; no trivial one should be there."""
+    dep, ref = (tuple(F.col(f"{x}{k}") for k in "c12") for x in "dr")
+    shape = cinds.groupBy(size(F.col("dc")).alias("dep"), size(F.col("rc")).alias("ref"))
+    return shape.agg(F.count(F.lit(1)).alias("cinds"), F.sum("support").alias("support"), F.count_if(implied(dep, ref)).alias("trivial"))

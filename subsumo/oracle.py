@@ -123,6 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "candidates_12": f"{b}, {C11}, {CANDIDATES_12} SELECT * FROM k12",
         "candidates_21": f"{b}, {C11}, {CANDIDATES_21} SELECT * FROM k21",
         "candidates_22": f"{b}, {CANDIDATES_22} SELECT * FROM k22 c WHERE NOT {implied_by('c12', True)}",
+        "cind_shapes": f"{b} SELECT CAST(bit_count(dc & 7) AS INTEGER) AS dep, CAST(bit_count(rc & 7) AS INTEGER) AS ref, count(*) AS cinds, CAST(sum(support) AS BIGINT) AS support, CAST(0 AS BIGINT) AS trivial FROM cinds GROUP BY 1, 2",
         "cinds_pretty": f"{b} SELECT {pretty('dc', 'd1', 'd2')} || ' < ' || {pretty('rc', 'r1', 'r2')} || ' (support=' || support || ')' AS line FROM cinds",
         "ar_pretty": f"{b} SELECT {pretty('ante_type', 'ante', repr(''))} || ' -> ' || {pretty('cons_type', 'cons', repr(''))} || ' (support=' || support || ',confidence=100.00%)' AS line FROM rules",
         "condition_histogram": f"""{b}, counts AS (SELECT type, count(*) AS count FROM (

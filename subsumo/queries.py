@@ -124,6 +124,7 @@ def queries() -> dict:
         "candidates_12": candidates_12,
         "candidates_21": candidates_21,
         "candidates_22": candidates_22,
+        "cind_shapes": lambda s, d: profile.shape_counts(cinds()(s, d)),
         "cinds_pretty": lambda s, d: cinds()(s, d).select(rdf.cind_text().alias("line")),
         "ar_pretty": lambda s, d: rules(facts(s, d), SUPPORT).select(rdf.rule_text().alias("line")),
         "condition_histogram": lambda s, d: profile.condition_histogram(facts(s, d)),

@@ -156,11 +156,30 @@ def test_text_sink(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["s[p=a,o=b] < s[p=c] (support=3)"]
 
 
-@pytest.mark.parametrize("name", ["association_rules", "overlaps_11", "cinds_all", "cinds_minimal", "cinds_levelwise", "cinds_ar_pruned", "candidates_22", "decompressed_cinds", "condition_histogram"])
+@pytest.mark.parametrize("name", ["association_rules", "overlaps_11", "cinds_all", "cind_shapes", "cinds_minimal", "cinds_levelwise", "cinds_ar_pruned", "candidates_22", "decompressed_cinds", "condition_histogram"])
 def test_queries_equal_sql(spark, name):
     same, got, want = compare(spark, views(SF), SF, queries()[name], oracle_sql()[name])
     assert same and got == want > 0
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from subsumo.__main__ import main
+
+    lines = [f"<s{i}> <p{i % 2}> <o{i % 2}> ." for i in range(12)] + ["# note"]
+    (tmp_path / "t.nt").write_text("\n".join(lines) + "\n")
+    path = str(tmp_path / "t.nt")
+    main(["find", path, "--support", "3", "--clean-implied", "--traversal-strategy", "0", "--output", f"file:{tmp_path}/out", "--ar-output", f"file:{tmp_path}/rules", "--counters"], spark)
+    assert "s[p=<p0>] < s[p=<p0>,o=<o0>] (support=6)" in {r.value for r in spark.read.text(f"{tmp_path}/out").collect()}
+    assert "[p=<p0>] -> [o=<o0>] (support=6,confidence=100.00%)" in {r.value for r in spark.read.text(f"{tmp_path}/rules").collect()}
+    main(["count-triples", path], spark)
+    main(["count-values", path], spark)
+    main(["check-hashes", path], spark)
+    main(["count-conditions", path], spark)
+    main(["find", path, "--only-read"], spark)
+    main(["find", path, "--hash-dictionary", "--support", "3", "--collect-result"], spark)
+    out = capsys.readouterr().out.splitlines()
+    assert {"12", "16;0", "0;6;6"} <= set(out) and any("(support=6)" in x for x in out)
+
+
 def test_every_query_has_sql():
     assert queries().keys() == oracle_sql().keys()
