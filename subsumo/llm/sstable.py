@@ -239,7 +239,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                         )
                         start, ordinal = start + int(ends[-1]), ordinal + len(ids)
 
-    return placed.repartition("shard").mapInArrow(read, "shard int, ordinal long, doc_id long, start long, ids binary")
+    # A task each: by size alone, adaptive execution would let one task read many.
+    return placed.repartition(max(1, manifest.count()), "shard").mapInArrow(read, "shard int, ordinal long, doc_id long, start long, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
