@@ -195,7 +195,7 @@ def search(candidates: DataFrame, n_blocks: int, queries: DataFrame, rotated_by:
 
     left = candidates.where("number > 0").select("number", "ids", "ints", F.lit(None).cast("binary").alias("bound"))
     right = queries.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("number"), "ids", "ints", "bound")
-    both = left.unionByName(right).repartition("number").sortWithinPartitions("number", F.col("bound").isNotNull())
+    both = left.unionByName(right).repartition(n_blocks, "number").sortWithinPartitions("number", F.col("bound").isNotNull())
     return both.mapInArrow(run, RESULT)
 
 
