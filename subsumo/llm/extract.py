@@ -44,6 +44,7 @@ WORDS = {
 }
 HEADER_WORDS = {"header", "head"}
 MAIN_WORDS = {"article", "main", "content", "post", "entry", "story", "body", "text"}
+MAIN_NAMES = {"article", "article-body", "articlebody", "main", "main-content", "content", "post", "post-content", "post-body", "entry", "entry-content", "story", "story-body"}
 OWN_NAMES = {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related", "teaser"}
 
 TOKEN = re.compile(
@@ -66,6 +67,7 @@ def marks(name: str, attributes: str) -> tuple[int, int, int, int]:
     main = name in MAIN or role in MAIN or given.get("itemprop", "").lower() == "articlebody"
     named = f"{given.get('class', '')} {given.get('id', '')}"
     own = {x.lower() for x in named.split()}
+    main = main or bool(own & MAIN_NAMES) and name not in ("html", "body")
     parts = {x.lower() for x in NAME_PART.findall(named)}
     weak = name == "header" or bool(parts & HEADER_WORDS) and not parts & MAIN_WORDS
     if name in ("html", "body", "main"):

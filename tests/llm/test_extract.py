@@ -22,6 +22,11 @@ def test_parts_of_a_page():
     assert main_texts([plain]) == [f"The title of it {'word ' * 60}Les. {'more ' * 40}".strip()]
 
 
+def test_named_main_and_boilerplate():
+    page = "<div class=top><p>Short.</p></div><div id=content><h2>Title</h2><p>One.</p><div class='related-posts'>See also</div><p>Two.</p></div><p>After it.</p>"
+    assert main_texts([page]) == ["Title One. Two."]
+
+
 def test_broken_and_empty_pages():
     assert main_texts([None, "", "<", "<!-- open", "<script>x", "<article>a < b</article>", '<article class="x>y</article>', "</p></div>", "<article><p>x" + "<b>" * 3000 + "y"]) == ["", "", "<" if main_texts(["<"]) == ["<"] else "", "", "", "a < b", main_texts(['<article class="x>y</article>'])[0], "", "xy"]
 
