@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import own_folder
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -21,10 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path and sc._jsc.sc().getCheckpointDir().isDefined():
         path = sc._jsc.sc().getCheckpointDir().get()
-    if not path:
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="subsumo-")
+    path = path or own_folder()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path.rstrip("/")

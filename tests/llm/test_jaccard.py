@@ -79,6 +79,7 @@ def documents(seed):
 def test_equals_brute_force(spark, tmp_path, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard, "ROWS", 8)
     rows = documents(1)
     spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, uid int, label string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, jaccard.query(spark, str(tmp_path)).collect()), key=str)
