@@ -9,9 +9,11 @@ neighbourhoods too. How many segments of either kind a band has is allocated by
 partners): short sets get few segments with deletions, long ones many exact ones.
 
 Equal word sequences are one class, joined through its representative. In the group of a key every member is compared
-with a pivot only; links found so far merge members into components, and members of other components are compared in
-a task of their own, if the group is bounded, or in rounds with further pivots (of its rarest components first),
-until every group's members are in one component or compared with each other. So all pairs that a key brings together are decided, but a group of copies costs one comparison each.
+with a pivot only, and the links found merge members into components. Groups that share members form families. A family that
+holds several components is decided within one task if it is bounded: the sets of all but its largest component are
+compared with all by products of their incidence matrix. In larger families further pivots of each group (of its rarest
+components first) meet the other members in rounds, until every group's members are in one component or compared with
+each other. So all pairs that a key brings together are decided, but a group of copies costs one comparison each.
 A pair is verified on the shingles of its texts.
 
 Texts that are null or without words have no shingles and link with nothing. Components take the smallest non-null
@@ -38,12 +40,13 @@ LEAST = 90
 WIDTH = 3
 #: Chance that an element of a segment agrees in two unrelated sets, and the number of sets, of the cost model.
 AGREEMENT, PARTNERS = 0.3, 1e4
-#: Groups of up to SMALL members are decided within a task after the first round, larger ones with PIVOTS members a round.
-SMALL, PIVOTS = 2048, 32
-#: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 4096
-#: Up to so many candidates (9 bytes each) are broadcast to filter the texts.
-BROADCAST_IDS = 2_000_000
+#: Families of up to SMALL members with ELEMENTS shingles in all are decided within a task after the first round; in the
+#: groups of larger ones PIVOTS members a round meet the others.
+SMALL, ELEMENTS, PIVOTS = 4096, 2_000_000, 32
+#: Rows and columns of the incidence matrix that are multiplied at once.
+ROWS, COLUMNS = 512, 1024
+#: Up to so many rows of ids (8 to 40 bytes each) are broadcast, so that keys and texts need no shuffle; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 #: The same of pairs of doc_id and digest (about 100 bytes each).
 BROADCAST_PAIRS = 200_000
 
@@ -76,7 +79,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -173,7 +176,7 @@ def facts(text: Column) -> Column:
     @F.arrow_udf(FACTS)
     def measure(texts: pa.Array) -> pa.Array:
         digests, sizes, exact, deleted = [], [], [], []
-        for text in texts.to_pylist():
+        for text in (t.as_py() for t in texts):
             words = words_of(text)
             s = hashed_set(words)
             e, d = all_keys(s)
@@ -212,10 +215,15 @@ def verified(a: Column, b: Column) -> Column:
     return verify(a, b)
 
 
+def narrow(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """Broadcast up to `bound` rows. `ids` is stored, hence counting it is cheap."""
+    return F.broadcast(ids) if ids.count() <= bound else ids
+
+
 def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
     left, right = texts.select(F.col("uid").alias("a"), F.col("text").alias("left")), texts.select(F.col("uid").alias("b"), F.col("text").alias("right"))
-    return saved(pairs.join(right, "b").join(left, "a").where(verified(F.col("left"), F.col("right"))).select("a", "b"), "links")
+    return saved(right.join(narrow(pairs), "b").join(left, "a").where(verified(F.col("left"), F.col("right"))).select("a", "b"), "links")
 
 
 def close(n: Column, other: Column) -> Column:
@@ -230,7 +238,7 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def members_of(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, exact, uid, n) of the keys that several representatives share, one of them by a whole subset at least."""
-    own = rows.join(classes.select(F.col("cls").alias("uid")), "uid")
+    own = rows.join(narrow(classes.select(F.col("cls").alias("uid"))), "uid")
     tagged = F.concat(F.transform("exact", lambda k: F.struct(k.alias("key"), F.lit(True).alias("exact"))), F.transform("deleted", lambda k: F.struct(k.alias("key"), F.lit(False).alias("exact"))))
     every = own.select("uid", "n", F.explode(tagged).alias("t")).select("t.key", "t.exact", "uid", "n")
     # A key that only one row has is most common: counting first, with map-side combination where rows repeat, drops it.
@@ -244,8 +252,9 @@ def texts_of(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFra
     ids = wanted.select(F.col("doc_id").alias("id")).distinct()
     few = wanted.count() <= BROADCAST_IDS
     near = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = near.select("text", text_digest(F.col("text")).alias("digest")).join(wanted.select("uid", "digest"), "digest")
-    return saved(found.groupBy("uid").agg(F.min("text").alias("text")), "texts")
+    found = saved(near.select("text", text_digest(F.col("text")).alias("digest")).join(narrow(wanted.select("uid", "digest")), "digest").select("uid", "text"), "texts")
+    once = found.agg(F.count(F.lit(1)) == F.count_distinct("uid")).first()[0]
+    return found if once else saved(found.groupBy("uid").agg(F.min("text").alias("text")), "texts")  # rows that repeat
 
 
 def labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,8 +266,8 @@ def labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame
 
 def unsettled(members: DataFrame) -> DataFrame:
     """The members of groups that hold several components, and a whole subset."""
-    groups = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("exact").alias("e"), F.count(F.lit(1)).alias("size"))
-    return saved(members.join(groups.where("low < high and e").select("key", "size"), "key"), "unsettled")
+    groups = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("exact").alias("e"))
+    return saved(members.join(groups.where("low < high and e").select("key"), "key"), "unsettled")
 
 
 def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -267,49 +276,52 @@ def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
     texts = texts_of(docs, members, classes)
     # First round: every member of a group with its pivot.
     pivot = members.groupBy("key").agg(F.min(F.struct(~F.col("exact"), F.col("uid"), F.col("n"))).alias("p"))
-    first = members.join(pivot, "key").where((F.col("uid") != F.col("p.uid")) & close(F.col("n"), F.col("p.n")))
-    pairs = saved(first.select(F.col("p.uid").alias("a"), F.col("uid").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    done, links = pairs, links_of(pairs, texts)
+    first = members.join(pivot, "key").where(F.col("uid") != F.col("p.uid")).select(F.least("p.uid", "uid").alias("a"), F.greatest("p.uid", "uid").alias("b"), close(F.col("n"), F.col("p.n")).alias("near"))
+    met = saved(first.distinct(), "met")
+    pairs = met.where("near").select("a", "b")
+    links = links_of(pairs, texts)
+    # Every group lies in one family.
+    families = components(met.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("uid"), F.col("label").alias("family"))
+    nodes, found = labelled(families.join(members.select("uid", "n").distinct(), "uid"), links)
+    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = saved(sizes.where("low < high").select("family", ((F.col("size") <= SMALL) & (F.col("elements") <= ELEMENTS)).alias("small")), "sizes")
+    nodes = saved(nodes.join(sizes, "family").select("family", "uid", "label", "small"), "nodes")
+    decided = links_of(in_family_links(nodes.where("small"), texts), texts)
+    links = links.unionByName(decided)
+    large = nodes.where("not small").select("uid")
+    if large.isEmpty():
+        return found if decided.isEmpty() else labelled(nodes.select("uid"), links)[1]
     # Pivots have been compared with all others of their groups.
-    rest = saved(members.join(pivot.select("key", F.col("p.uid").alias("uid")), ["key", "uid"], "left_anti"), "rest")
+    rest = saved(members.join(large, "uid", "left_semi").join(pivot.select("key", F.col("p.uid").alias("uid")), ["key", "uid"], "left_anti"), "rest")
+    done = pairs
     while True:
         with_labels, found = labelled(rest, links)
         open_ = unsettled(with_labels.select("key", "exact", "uid", "n", "label"))
         if open_.isEmpty():
             return found
-        small, large = open_.where(F.col("size") <= SMALL), open_.where(F.col("size") > SMALL)
-        decided = links_of(in_group_links(small, texts), texts)
-        chosen = pivots(large)
-        a, b = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), large.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
-        met = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b")))
-        pairs = saved(met.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        chosen = saved(pivots(open_), "pivots")
+        a, b = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
+        found_pairs = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b")))
+        pairs = saved(found_pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(pairs)
-        links = links.unionByName(decided)
-        if not pairs.isEmpty():
-            links = links.unionByName(links_of(pairs, texts))
-        rest = saved(large.join(chosen.select("key", "uid"), ["key", "uid"], "left_anti").select("key", "exact", "uid", "n"), "rest")
+        links = links.unionByName(links_of(pairs, texts))
+        rest = saved(open_.join(chosen.select("key", "uid"), ["key", "uid"], "left_anti").select("key", "exact", "uid", "n"), "rest")
 
 
 def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
-    """Links between the sets (of hashes) of a group that join its components, at most one fewer than there are sets."""
+    """Links between sets (of hashes) that join components, at most one fewer than there are sets."""
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(labels, return_inverse=True)[1]
+    strays = np.flatnonzero(label != np.bincount(label).argmax())  # pairs within the largest component need no look
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
     row = np.repeat(np.arange(g), sizes)
     shared = np.bincount(column) > 1  # others are in no intersection
-    number = np.cumsum(shared) - 1
     keep = shared[column]
-    row, column = row[keep], number[column[keep]]
+    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((g, g), np.float32)  # exact below 2**24
-    for first in range(0, int(shared.sum()), COLUMNS):
-        low, high = np.searchsorted(column, [first, first + COLUMNS])
-        part = np.zeros((g, COLUMNS), np.float32)
-        part[row[low:high], column[low:high] - first] = 1
-        common += part @ part.T
-    common = common.astype(np.int64)
-    i, j = np.nonzero(np.triu(100 * common >= LEAST * (sizes[:, None] + sizes[None, :] - common), 1))
+    row, column, width = row[order], column[order], int(shared.sum())
+    ends = np.searchsorted(column, np.arange(0, width + COLUMNS, COLUMNS))
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -318,44 +330,49 @@ def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int,
         return x
 
     found = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = find(labels[x]), find(labels[y])
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            found.append((x, y))
+    for at in range(0, len(strays), ROWS):
+        mine = strays[at : at + ROWS]
+        common = np.zeros((len(mine), g), np.float32)  # exact below 2**24
+        for k, first in enumerate(range(0, width, COLUMNS)):
+            part = np.zeros((g, min(COLUMNS, width - first)), np.float32)
+            part[row[ends[k] : ends[k + 1]], column[ends[k] : ends[k + 1]] - first] = 1
+            common += part[mine] @ part.T
+        common = common.astype(np.float64)
+        i, j = np.nonzero((100 * common >= LEAST * (sizes[mine][:, None] + sizes[None, :] - common)) & (label[mine][:, None] != label[None, :]))
+        for x, y in zip(mine[i], j):
+            p, q = find(labels[x]), find(labels[y])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((int(x), int(y)))
     return found
 
 
-def in_group_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join components within the groups of `members` (key, uid, label), each group decided by one task.
+def in_family_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join components within the families of `nodes` (family, uid, label), each decided by one task.
 
     Found on the shingles' hashes; the caller verifies what is found on the texts.
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, labels, sets, known = None, [], [], [], {}
+        now, ids, labels, sets = None, [], [], []
 
         def found() -> pa.RecordBatch:
-            pairs = [sorted((ids[x], ids[y])) for x, y in spanning_links(sets, labels)] if len(set(labels)) > 1 else []
+            pairs = [sorted((ids[x], ids[y])) for x, y in spanning_links(sets, labels)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, uid, label, text in zip(*(batch[c].to_pylist() for c in ("key", "uid", "label", "text")), strict=True):
-                if key != now and ids:
+            for family, uid, label, text in (row for at in range(0, len(batch), 256) for row in zip(*(batch[c].slice(at, 256).to_pylist() for c in ("family", "uid", "label", "text")), strict=True)):
+                if family != now and ids:
                     yield found()
                     ids, labels, sets = [], [], []
-                now = key
-                if uid not in known:
-                    if len(known) >= 2 * SMALL:
-                        known.clear()
-                    known[uid] = hashed_set(words_of(text))
+                now = family
                 ids.append(uid)
                 labels.append(label)
-                sets.append(known[uid])
+                sets.append(hashed_set(words_of(text)))
         if ids:
             yield found()
 
-    rows = members.select("key", "uid", "label").join(texts, "uid").repartition("key").sortWithinPartitions("key")
+    rows = texts.join(narrow(nodes.select("family", "uid", "label")), "uid").repartition("family").sortWithinPartitions("family")
     return saved(rows.mapInArrow(decide, "a long, b long").distinct(), "decided")
 
 
@@ -396,17 +413,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     repeated = saved(pairs.where("copies > 1").join(kept, same, "left_semi").select(F.col("doc_id").alias("id"), F.col("digest").alias("d")), "repeated")
     row, key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_digest(F.col("text")).alias("digest")
     rest = docs.select(row, "doc_id", key)
-    rest = rest.join(narrow(dropped), same, "left_anti")
+    rest = rest.join(narrow(dropped, BROADCAST_PAIRS), same, "left_anti")
     if not repeated.isEmpty():
-        twice = rest.join(narrow(repeated), same, "left_semi").groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
-        rest = rest.join(narrow(repeated), same, "left_anti").select("row").unionByName(twice.select("row"))
+        twice = rest.join(narrow(repeated, BROADCAST_PAIRS), same, "left_semi").groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
+        rest = rest.join(narrow(repeated, BROADCAST_PAIRS), same, "left_anti").select("row").unionByName(twice.select("row"))
     return rest.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def narrow(pairs: DataFrame) -> DataFrame:
-    """Broadcast up to BROADCAST_PAIRS rows."""
-    return F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
