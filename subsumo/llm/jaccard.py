@@ -16,6 +16,11 @@ components first) meet the other members in rounds, until every group's members
 each other. So all pairs that a key brings together are decided, but a group of copies costs one comparison each.
 A pair is verified on the shingles of its texts.
 
+Width and threshold are a `Rule`; the query has three words and 90. Below SEGMENTS linked sets may differ so much that segments
+would hold few elements or none. There keys are prefixes instead: linked sets share one of the n - ceil(least n / 100) + 1
+first elements of each in any common order, here by hash with often seen shingles last. Such pairs meet a parity sketch first,
+which rules out none that links.
+
 Texts that are null or without words have no shingles and link with nothing. Components take the smallest non-null
 doc_id (null if all are null); rows that repeat a doc_id stay. Extra columns are ignored; an empty table gives an empty
 table.
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,12 @@ from .components import components
 #: Links are 100 * intersection >= LEAST * union.
 LEAST = 90
 WIDTH = 3
+#: Keys are of segments from this threshold on, of prefixes below.
+SEGMENTS = 90
+#: One of SAMPLED documents is looked at for shingles that OFTEN of them or more have in their prefixes; up to COMMON are put last.
+SAMPLED, OFTEN, COMMON = 8, 3, 200_000
+#: Bits of a sketch.
+BITS = 1024
 #: Chance that an element of a segment agrees in two unrelated sets, and the number of sets, of the cost model.
 AGREEMENT, PARTNERS = 0.3, 1e4
 #: Families of up to SMALL members with ELEMENTS shingles in all are decided within a task after the first round; in the
@@ -54,21 +66,31 @@ U64 = np.uint64
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
+class Rule(NamedTuple):
+    """Sets of shingles of `width` words link where 100 * intersection >= least * union."""
+
+    width: int = WIDTH
+    least: int = LEAST
+
+
+OWN = Rule()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between the six ASCII white-space characters, A-Z in lower case."""
     return text.encode().lower().split() if text else []
 
 
-def shingles(text: str | None) -> set:
+def shingles(text: str | None, rule: Rule = OWN) -> set:
     words = words_of(text)
-    if len(words) < WIDTH:
+    if len(words) < rule.width:
         return {tuple(words)} if words else set()
-    return set(zip(words, words[1:], words[2:]))
+    return set(zip(*(words[i:] for i in range(rule.width))))
 
 
-def linked(a: set, b: set) -> bool:
+def linked(a: set, b: set, rule: Rule = OWN) -> bool:
     common = len(a & b)
-    return common > 0 and 100 * common >= LEAST * (len(a) + len(b) - common)
+    return common > 0 and 100 * common >= rule.least * (len(a) + len(b) - common)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -88,15 +110,24 @@ class WordHashes(dict):
 WORD_HASHES = WordHashes()
 
 
-def hashed_set(words: list[bytes]) -> np.ndarray:
+@lru_cache(maxsize=None)
+def factors(width: int) -> np.ndarray:
+    """Odd factors of the words of a shingle."""
+    return np.concatenate([np.array([M1, M2, M3], U64), mixed(np.arange(3, width + 3, dtype=U64)) | U64(1)])
+
+
+def hashed_set(words: list[bytes], rule: Rule = OWN) -> np.ndarray:
     """The distinct shingles' hashes, ascending."""
-    n = len(words)
+    n, width = len(words), rule.width
     if not n:
         return np.zeros(0, U64)
     h = np.fromiter(map(WORD_HASHES.__getitem__, words), U64, n)
-    if n < WIDTH:
-        return mixed(np.array([(h * np.array([M2, M3], U64)[:n]).sum(dtype=U64) + U64(n)], U64))
-    return np.unique(mixed(h[:-2] * M1 + mixed(h[1:-1]) * M2 + h[2:] * M3))
+    if n < width:
+        return mixed(np.array([(h * factors(width)[1 : n + 1]).sum(dtype=U64) + U64(n)], U64))
+    turned, total = mixed(h), np.zeros(n - width + 1, U64)
+    for i, factor in enumerate(factors(width)[:width]):
+        total += (turned if i % 2 else h)[i : n - width + 1 + i] * factor
+    return np.unique(mixed(total))
 
 
 @lru_cache(maxsize=None)
@@ -163,29 +194,59 @@ def all_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-FACTS = "struct<digest:binary,n:int,exact:array<long>,deleted:array<long>>"
+def prefix(s: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarray:
+    """The first elements of the set `s` (ascending hashes), those in `common` (ascending too) last; linked sets share one."""
+    n = len(s)
+    if n and len(common):
+        often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        s = np.concatenate([s[~often], s[often]])
+    return s[: n - (rule.least * n + 99) // 100 + 1]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the elements that fall on each of BITS bits. The bits in which two sketches differ are no more than the
+    elements in which the sets do."""
+    return np.packbits(np.bincount((s & U64(BITS - 1)).astype(np.int64), minlength=BITS) % 2 == 1).tobytes()
 
 
-def facts(text: Column) -> Column:
-    """Digest of the word sequence, size of the set, and its keys."""
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *arrays]).view(np.int64)))
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *arrays]).view(np.int64)))
+
+def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """Shingles (hashes, ascending) that many documents have. They settle the order of prefixes, hence work, not results."""
+    none = np.zeros(0, U64)
+
+    @F.arrow_udf("array<long>")
+    def first(texts: pa.Array) -> pa.Array:
+        return lists([prefix(hashed_set(words_of(t.as_py()), rule), rule, none) for t in texts])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode(first("text")).alias("key"))
+    often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
+    return np.sort(np.array([r.key for r in often.orderBy(F.desc("c"), "key").limit(COMMON).collect()], np.int64).view(U64))
+
+
+FACTS = "struct<digest:binary,n:int,exact:array<long>,deleted:array<long>,sketch:binary>"
+
+
+def facts(text: Column, rule: Rule = OWN, often: np.ndarray | None = None) -> Column:
+    """Digest of the word sequence, size of the set, and its keys; of prefixes where `often` is given, with a sketch."""
 
     @F.arrow_udf(FACTS)
     def measure(texts: pa.Array) -> pa.Array:
-        digests, sizes, exact, deleted = [], [], [], []
+        digests, sizes, exact, deleted, sketches = [], [], [], [], []
         for text in (t.as_py() for t in texts):
             words = words_of(text)
-            s = hashed_set(words)
-            e, d = all_keys(s)
+            s = hashed_set(words, rule)
+            e, d = all_keys(s) if often is None else (prefix(s, rule, often), np.zeros(0, U64))
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(s))
             exact.append(e)
             deleted.append(d)
-        columns = pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists(exact), lists(deleted)
-        return pa.StructArray.from_arrays(columns, ["digest", "n", "exact", "deleted"])
+            sketches.append(None if often is None else sketch(s))
+        columns = pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), lists(exact), lists(deleted), pa.array(sketches, pa.binary())
+        return pa.StructArray.from_arrays(columns, ["digest", "n", "exact", "deleted", "sketch"])
 
     return measure(text)
 
@@ -200,7 +261,7 @@ def text_digest(text: Column) -> Column:
     return measure(text)
 
 
-def verified(a: Column, b: Column) -> Column:
+def verified(a: Column, b: Column, rule: Rule) -> Column:
     """Whether two texts link; rows should come ordered by `a`."""
 
     @F.arrow_udf("boolean")
@@ -208,8 +269,8 @@ def verified(a: Column, b: Column) -> Column:
         out, last, held = [], None, set()
         for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
             if x != last:
-                last, held = x, shingles(x)
-            out.append(linked(held, shingles(y)))
+                last, held = x, shingles(x, rule)
+            out.append(linked(held, shingles(y, rule), rule))
         return pa.array(out, pa.bool_())
 
     return verify(a, b)
@@ -220,19 +281,33 @@ def narrow(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
-def links_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sketches admit a link."""
+
+    @F.arrow_udf("int")
+    def differing(left: pa.Array, right: pa.Array) -> pa.Array:
+        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right)]
+        return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int32), pa.int32())
+
+    left, right = (rows.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").withColumn("d", differing(F.col("sketch_a"), F.col("sketch_b")))
+    return saved(both.where((100 + rule.least) * (F.col("n_a") + F.col("n_b") - F.col("d")) >= 2 * rule.least * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "possible")
+
+
+def links_of(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link."""
     left, right = texts.select(F.col("uid").alias("a"), F.col("text").alias("left")), texts.select(F.col("uid").alias("b"), F.col("text").alias("right"))
-    return saved(right.join(narrow(pairs), "b").join(left, "a").where(verified(F.col("left"), F.col("right"))).select("a", "b"), "links")
+    return saved(right.join(narrow(pairs), "b").join(left, "a").where(verified(F.col("left"), F.col("right"), rule)).select("a", "b"), "links")
 
 
-def close(n: Column, other: Column) -> Column:
-    return LEAST * F.greatest(n, other) <= 100 * F.least(n, other)
+def close(n: Column, other: Column, rule: Rule) -> Column:
+    return rule.least * F.greatest(n, other) <= 100 * F.least(n, other)
 
 
-def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes_of(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, digest, n, keys) of every row, and (cls, digest, doc_id) of every class of equal word sequences."""
-    rows = saved(docs.select("doc_id", facts(F.col("text")).alias("f")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "f.*"), "facts")
+    often = common_shingles(docs, rule) if rule.least < SEGMENTS else None
+    rows = saved(docs.select("doc_id", facts(F.col("text"), rule, often).alias("f")).select(F.monotonically_increasing_id().alias("uid"), "doc_id", "f.*"), "facts")
     return rows, saved(rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("doc_id")), "classes")
 
 
@@ -270,23 +345,24 @@ def unsettled(members: DataFrame) -> DataFrame:
     return saved(members.join(groups.where("low < high and e").select("key"), "key"), "unsettled")
 
 
-def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(u, label) of the representatives that link with another."""
+    look = (lambda pairs: possible(pairs, rows, rule)) if rule.least < SEGMENTS else (lambda pairs: pairs)
     members = members_of(rows, classes)
     texts = texts_of(docs, members, classes)
     # First round: every member of a group with its pivot.
     pivot = members.groupBy("key").agg(F.min(F.struct(~F.col("exact"), F.col("uid"), F.col("n"))).alias("p"))
-    first = members.join(pivot, "key").where(F.col("uid") != F.col("p.uid")).select(F.least("p.uid", "uid").alias("a"), F.greatest("p.uid", "uid").alias("b"), close(F.col("n"), F.col("p.n")).alias("near"))
+    first = members.join(pivot, "key").where(F.col("uid") != F.col("p.uid")).select(F.least("p.uid", "uid").alias("a"), F.greatest("p.uid", "uid").alias("b"), close(F.col("n"), F.col("p.n"), rule).alias("near"))
     met = saved(first.distinct(), "met")
     pairs = met.where("near").select("a", "b")
-    links = links_of(pairs, texts)
+    links = links_of(look(pairs), texts, rule)
     # Every group lies in one family.
     families = components(met.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("uid"), F.col("label").alias("family"))
     nodes, found = labelled(families.join(members.select("uid", "n").distinct(), "uid"), links)
     sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = saved(sizes.where("low < high").select("family", ((F.col("size") <= SMALL) & (F.col("elements") <= ELEMENTS)).alias("small")), "sizes")
     nodes = saved(nodes.join(sizes, "family").select("family", "uid", "label", "small"), "nodes")
-    decided = links_of(in_family_links(nodes.where("small"), texts), texts)
+    decided = links_of(in_family_links(nodes.where("small"), texts, rule), texts, rule)
     links = links.unionByName(decided)
     large = nodes.where("not small").select("uid")
     if large.isEmpty():
@@ -301,14 +377,14 @@ def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Da
             return found
         chosen = saved(pivots(open_), "pivots")
         a, b = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
-        found_pairs = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b")))
+        found_pairs = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b"), rule))
         pairs = saved(found_pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(pairs)
-        links = links.unionByName(links_of(pairs, texts))
+        links = links.unionByName(links_of(look(pairs), texts, rule))
         rest = saved(open_.join(chosen.select("key", "uid"), ["key", "uid"], "left_anti").select("key", "exact", "uid", "n"), "rest")
 
 
-def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], labels: list[int], rule: Rule = OWN) -> list[tuple[int, int]]:
     """Links between sets (of hashes) that join components, at most one fewer than there are sets."""
     g = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -338,7 +414,7 @@ def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int,
             part[row[ends[k] : ends[k + 1]], column[ends[k] : ends[k + 1]] - first] = 1
             common += part[mine] @ part.T
         common = common.astype(np.float64)
-        i, j = np.nonzero((100 * common >= LEAST * (sizes[mine][:, None] + sizes[None, :] - common)) & (label[mine][:, None] != label[None, :]))
+        i, j = np.nonzero((100 * common >= rule.least * (sizes[mine][:, None] + sizes[None, :] - common)) & (label[mine][:, None] != label[None, :]))
         for x, y in zip(mine[i], j):
             p, q = find(labels[x]), find(labels[y])
             if p != q:
@@ -347,7 +423,7 @@ def spanning_links(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int,
     return found
 
 
-def in_family_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def in_family_links(nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links that join components within the families of `nodes` (family, uid, label), each decided by one task.
 
     Found on the shingles' hashes; the caller verifies what is found on the texts.
@@ -357,7 +433,7 @@ def in_family_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         now, ids, labels, sets = None, [], [], []
 
         def found() -> pa.RecordBatch:
-            pairs = [sorted((ids[x], ids[y])) for x, y in spanning_links(sets, labels)]
+            pairs = [sorted((ids[x], ids[y])) for x, y in spanning_links(sets, labels, rule)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -368,7 +444,7 @@ def in_family_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 now = family
                 ids.append(uid)
                 labels.append(label)
-                sets.append(hashed_set(words_of(text)))
+                sets.append(hashed_set(words_of(text), rule))
         if ids:
             yield found()
 
@@ -384,14 +460,14 @@ def pivots(large: DataFrame) -> DataFrame:
     return large.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank", "same")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     """(uid, doc_id, digest, n_shingles, component, component_id) of every row of `docs` (doc_id, text).
 
     `digest` is of the word sequence; `component` a number of the component, null for texts without words.
     """
     docs = docs.select("doc_id", "text")
-    rows, classes = classes_of(docs)
-    labels = component_labels(docs, rows, classes)
+    rows, classes = classes_of(docs, rule)
+    labels = component_labels(docs, rows, classes, rule)
     of_class = classes.join(labels.select(F.col("u").alias("cls"), "label"), "cls", "left").withColumn("component", F.coalesce("label", "cls"))
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_class.join(least, "component").select("digest", "component", "component_id")
@@ -400,10 +476,10 @@ def joined(docs: DataFrame) -> DataFrame:
     return whole.where("n_shingles > 0").join(named, "digest").select(without.columns).unionByName(without)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     """The rows of `docs`, with its columns, of which no other document of their component has a smaller doc_id; of rows
     that repeat doc_id and words one stays. Texts without words stay."""
-    found = saved(joined(docs), "joined")
+    found = saved(joined(docs, rule), "joined")
     grouped = found.where("component is not null")
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("f")).select("f.doc_id", "f.digest")
     pairs = grouped.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
