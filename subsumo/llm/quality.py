@@ -123,10 +123,10 @@ def quality_score(text: Column, forest: Forest) -> Column:
     return score(text)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, least: float = GOOD) -> DataFrame:
+def good_documents(docs: DataFrame, forest: Forest, least: float = GOOD) -> DataFrame:
     """The rows of `docs` that score `least` or more, with its columns."""
     score = free_name(docs, "score")
-    scored = docs.withColumn(score, quality_score(F.col("text"), train(docs, labels)))
+    scored = docs.withColumn(score, quality_score(F.col("text"), forest))
     return scored.where(F.col(score) >= least).select(*[f"`{c}`" for c in docs.columns])
 
 
