@@ -91,8 +91,8 @@ def hash_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 def decompressed_cinds(spark: SparkSession, sf: str) -> DataFrame:
     triples = facts(spark, sf)
-    values = saved(dictionary.hash_groups(dictionary.distinct_values(triples), length=4), "hashes")
-    short = dictionary.compress(triples, ["s", "p", "o"], values, length=4)
+    values = saved(dictionary.hash_groups(dictionary.distinct_values(triples)), "hashes")
+    short = dictionary.compress(triples, ["s", "p", "o"], values)
     found = discover(short, Config(support=SUPPORT))
     return dictionary.decompress(found, ["d1", "d2", "r1", "r2"], dictionary.dictionary(values))
 
