@@ -75,7 +75,7 @@ def find(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.hash_dictionary:
         values = saved(dictionary.hash_groups(dictionary.distinct_values(triples), args.hash_function), "hashes")
         short = dictionary.compress(triples, ["s", "p", "o"], values, args.hash_function)
-        cinds = dictionary.decompress(discover(short, config), ["d1", "d2", "r1", "r2"], dictionary.dictionary(values))
+        cinds = discover(short, config, entries=dictionary.dictionary(values))
     else:
         cinds = discover(triples, config)
     if args.print_plan:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import digest
+from ..storage import saved
 
 
 def distinct_values(triples: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def dictionary(groups: DataFrame) -> DataFrame:
 
 def compress(rows: DataFrame, columns: list[str], groups: DataFrame, algorithm: str = "MD5", length: int | None = None) -> DataFrame:
     """Non-empty values of `columns` by their code; values that share a hash are escaped instead."""
-    colliding = groups.where("n > 1").select(F.col("hash").alias("bad"))
+    colliding = saved(groups.where("n > 1").select(F.col("hash").alias("bad")), "colliding")  # few or none: the planner sees its size
     for c in columns:
         hashed = digest(F.col(c), algorithm)
         rows = rows.withColumn("h", F.substring(hashed, 1, length) if length else hashed).join(colliding, F.col("h") == F.col("bad"), "left")

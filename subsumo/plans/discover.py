@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import asciify, shorten
 from ..operators import pairs
-from ..operators.captures import Groups, captures, without_implied
+from ..operators.captures import Groups
 from ..operators.conditions import association_rules, binary_conditions, unary_conditions
 from ..storage import saved
 
@@ -52,31 +52,19 @@ def rules(triples: DataFrame, support: int) -> DataFrame:
     return association_rules(*frequent(triples, support))
 
 
-def levelwise(groups: Groups) -> DataFrame:
-    """From unary overlaps to 1/1, candidates 1/2, 2/1 and 2/2, each verified, then minimised."""
-    overlaps = saved(pairs.unary_overlaps(groups), "overlaps")
-    ways = pairs.both_ways(overlaps)
-    c11 = saved(ways.where("overlap = support").selectExpr("dc", "d1", "'' as d2", "rc", "r1", "'' as r2", "support"), "c11")
-    proper = ways.where("overlap < support")
-    c12 = saved(pairs.verified(pairs.candidates_12(c11, groups), groups), "c12")
-    c21 = saved(pairs.verified(pairs.candidates_21(proper, groups), groups), "c21")
-    every_21 = c21.select(*pairs.DEP, *pairs.REF).unionByName(pairs.inferred_21(c11, overlaps, groups)).distinct()
-    c22 = pairs.verified(pairs.candidates_22(every_21, c12, groups), groups)
-    return pairs.minimal(saved(c11.unionByName(c12).unionByName(c21).unionByName(c22), "found"))
-
-
-def discover(triples: DataFrame, config: Config = Config(), prefixes: DataFrame | None = None) -> DataFrame:
-    """(dc, d1, d2, rc, r1, r2, support) of the dependencies in `triples` (s, p, o)."""
-    triples = prepared(triples, config, prefixes)
-    found = captures(triples, config.projection)
-    if config.use_rules:
-        known = saved(rules(triples, config.support), "rules")
-        found = without_implied(found, known)
-    groups = Groups(found, config.support)
+def discover(triples: DataFrame, config: Config = Config(), prefixes: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+    """(dc, d1, d2, rc, r1, r2, support) of the dependencies in `triples` (s, p, o); with `entries` (hash, value), which
+    `dictionary.compress` used, values stand for their hashes."""
+    triples = saved(prepared(triples, config, prefixes).select(*"spo").distinct(), "triples")
+    groups = Groups(triples, config.support, config.projection, config.use_rules, entries)
     if config.mode == "levelwise":
-        cinds = levelwise(groups)
+        cinds = pairs.Levels(groups).minimal()
     else:
         cinds = pairs.dependencies(groups, config.direct)
         if config.mode == "minimal":
-            cinds = pairs.minimal(saved(cinds, "cinds"))
-    return pairs.without_rule_implied(cinds, known) if config.use_rules else cinds
+            cinds = pairs.minimal(saved(cinds.select("a", "b", "support"), "cinds"), groups)
+    if config.use_rules:
+        cinds = pairs.without_rule_implied(cinds, groups)
+    if "dc" not in cinds.columns:
+        cinds = groups.named(cinds)
+    return cinds.select(*pairs.DEP, *pairs.REF, "support")

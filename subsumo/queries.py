@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from .functions.values import asciify, shorten
 from .operators import conditions, dictionary, pairs, profile
-from .operators.captures import Groups, capture_support, captures
+from .operators.captures import Groups, captures
 from .plans.discover import Config, discover, frequent, rules
 from .sources import rdf, tables
 from .storage import saved
 
 SUPPORT = 10
-PREFIXES = [("dbpr", "http://dbpedia.org/resource/"), ("dbpc", "http://dbpedia.org/resource/Category:"), ("y", "urn:yahoo:maps")]
+PREFIXES = [("dbpr", "http://items.example/id/"), ("dbpc", "http://items.example/id/Kind:"), ("u", "urn:example:unused")]
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,11 +21,11 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups_of(spark: SparkSession, sf: str, projection: str = "spo") -> Groups:
-    return Groups(captures(facts(spark, sf), projection), SUPPORT)
+    return Groups(saved(facts(spark, sf), "triples"), SUPPORT, projection)
 
 
 def cinds(**options):
-    return lambda spark, sf: discover(facts(spark, sf), Config(support=SUPPORT, **options))
+    return lambda spark, sf: discover(tables.triples(spark, sf), Config(support=SUPPORT, **options))
 
 
 def of_shape(dep: int, ref: int):
@@ -37,32 +37,23 @@ def overlaps_11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proper_overlaps_11(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.both_ways(overlaps_11(spark, sf)).where("overlap < support")
-
-
-def level(spark: SparkSession, sf: str):
     groups = groups_of(spark, sf)
-    overlaps = saved(pairs.unary_overlaps(groups), "overlaps")
-    ways = pairs.both_ways(overlaps)
-    return groups, overlaps, saved(ways.where("overlap = support"), "c11"), ways.where("overlap < support")
+    ways = pairs.both_ways(pairs.unary_overlaps_by_id(groups, pairs.class_overlaps(groups)))
+    return groups.named(ways.where("overlap < support")).select("dc", "d1", "rc", "r1", "support", "overlap")
 
 
-def candidates_12(spark: SparkSession, sf: str) -> DataFrame:
-    groups, _, c11, _ = level(spark, sf)
-    return pairs.candidates_12(c11, groups)
+def candidates(generate):
+    """Candidates as captures; `generate`: from the levels."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        levels = pairs.Levels(groups_of(spark, sf))
+        return levels.groups.named(generate(levels)).select(*pairs.DEP, *pairs.REF)
 
-def candidates_21(spark: SparkSession, sf: str) -> DataFrame:
-    groups, _, _, proper = level(spark, sf)
-    return pairs.candidates_21(proper, groups)
+    return run
 
 
-def candidates_22(spark: SparkSession, sf: str) -> DataFrame:
-    groups, overlaps, c11, proper = level(spark, sf)
-    c12 = pairs.verified(pairs.candidates_12(c11, groups), groups)
-    c21 = pairs.verified(pairs.candidates_21(proper, groups), groups)
-    every = c21.select(*pairs.DEP, *pairs.REF).unionByName(pairs.inferred_21(c11, overlaps, groups)).distinct()
-    return pairs.candidates_22(every, c12, groups)
+def frequent_captures(spark: SparkSession, sf: str) -> DataFrame:
+    return Groups(saved(facts(spark, sf), "triples"), SUPPORT).frequent.select("code", "v1", "v2", "support")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +68,7 @@ def parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shortened(spark: SparkSession, sf: str) -> DataFrame:
-    longer = facts(spark, sf).select(*[F.concat(F.lit("<http://dbpedia.org/resource/"), F.when(F.col(c).startswith("n"), "Category:").otherwise(""), F.col(c), F.lit(">")).alias(c) for c in ("s", "o")], "p")
+    longer = facts(spark, sf).select(*[F.concat(F.lit("<http://items.example/id/"), F.when(F.col(c).startswith("n"), "Kind:").otherwise(""), F.col(c), F.lit(">")).alias(c) for c in ("s", "o")], "p")
     return shorten(longer, spark.createDataFrame(PREFIXES, "prefix string, url string"))
 
 
@@ -93,8 +84,7 @@ def decompressed_cinds(spark: SparkSession, sf: str) -> DataFrame:
     triples = facts(spark, sf)
     values = saved(dictionary.hash_groups(dictionary.distinct_values(triples)), "hashes")
     short = dictionary.compress(triples, ["s", "p", "o"], values)
-    found = discover(short, Config(support=SUPPORT))
-    return dictionary.decompress(found, ["d1", "d2", "r1", "r2"], dictionary.dictionary(values))
+    return discover(short, Config(support=SUPPORT), entries=dictionary.dictionary(values))
 
 
 def queries() -> dict:
@@ -105,7 +95,7 @@ def queries() -> dict:
         "binary_conditions": lambda s, d: frequent(facts(s, d), SUPPORT)[1],
         "association_rules": lambda s, d: rules(facts(s, d), SUPPORT),
         "captures": lambda s, d: captures(facts(s, d)),
-        "capture_support": lambda s, d: capture_support(captures(facts(s, d)), SUPPORT),
+        "capture_support": frequent_captures,
         "capture_groups_hist": lambda s, d: profile.group_histogram(captures(facts(s, d))),
         "group_load": lambda s, d: profile.group_load(captures(facts(s, d))),
         "overlaps_11": overlaps_11,
@@ -121,9 +111,9 @@ def queries() -> dict:
         "cinds_ar_pruned": cinds(use_rules=True),
         "cinds_proj_s": cinds(projection="s"),
         "cinds_proj_so": cinds(projection="so"),
-        "candidates_12": candidates_12,
-        "candidates_21": candidates_21,
-        "candidates_22": candidates_22,
+        "candidates_12": candidates(lambda x: pairs.candidates_12(x.c11, x.groups)),
+        "candidates_21": candidates(lambda x: pairs.candidates_21(x.proper, x.groups)),
+        "candidates_22": candidates(lambda x: x.upper()[2]),
         "cind_shapes": lambda s, d: profile.shape_counts(cinds()(s, d)),
         "cinds_pretty": lambda s, d: cinds()(s, d).select(rdf.cind_text().alias("line")),
         "ar_pretty": lambda s, d: rules(facts(s, d), SUPPORT).select(rdf.rule_text().alias("line")),

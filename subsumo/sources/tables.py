@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = ("customer", "nation", "supplier", "orders", "part")
@@ -20,6 +22,5 @@ UNION ALL SELECT concat('p', p_partkey), 'brand', p_brand FROM part
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for name in NAMES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(TRIPLES_SQL)
+    """The triples of the tables in `sf_dir`; the session's views are left alone."""
+    return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", TRIPLES_SQL), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in NAMES})
