@@ -4,9 +4,10 @@ Documents become ids with an end id and are cut into pieces of at most `capacity
 of piece lengths, at most `capacity` numbers, whatever the number of rows: lengths are rounded up to a grid, patterns of
 up to PATTERN_DOCUMENTS grid lengths that fill a sequence (and of equal lengths and what they leave) are enumerated, and
 repeat counts are fitted to the histogram by non-negative least squares and rounded. Patterns are then carried out on the true lengths:
-the longest of each grid length, for the last one whatever fits best, then anything that still fits. The residual is
-packed longest first, each sequence filled with the longest piece that fits. Equal sequences are planned at once, hence a
-step uses up a length or ends a pattern.
+the longest of each grid length, for the last one whatever fits best, then anything that still fits; what would stay
+loosely filled is left for the residual. The residual is packed longest first, each sequence filled with the longest piece that
+fits. Several shares of the fitted repeats are tried, and the plan with the fewest sequences is taken. Equal sequences are
+planned at once, hence a step uses up a length or ends a pattern.
 
 The plan maps (length, rank among pieces of this length) to a sequence and a place; ranks come from counts by stored
 partition and length and a window over one partition and length, so that a common length is spread over tasks.
@@ -33,8 +34,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Lengths of the grid, and the most documents of an enumerated pattern.
 GRID, PATTERN_DOCUMENTS = 64, 4
-#: The share of the fitted repeats that is carried out; what is left keeps short pieces to fill up the residual's sequences.
-CARRIED_OUT = 0.75
+#: Shares of the fitted repeats that are tried: with all carried out, the residual may lack short pieces to fill up its sequences.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
+#: A pattern's sequence that stays emptier than this share is not carried out.
+LOOSE = 1 / 512
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -108,6 +111,8 @@ class Plan:
         self.taken: Counter[int] = Counter()
         self.rows: list[tuple[int, int, int, int]] = []  # length, first rank, first sequence, offset
         self.sequences = 0
+        #: Sequences that patterns made.
+        self.fitted = 0
 
     def longest(self, most: int, used: Counter[int]) -> int:
         """The longest length of which more are left than `used`, at most `most`; 0 if none."""
@@ -145,42 +150,68 @@ class Plan:
         return np.array(sorted(self.rows), np.int64).reshape(-1, 4)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, grid: int = GRID, most: int = PATTERN_DOCUMENTS) -> Plan:
-    made = Plan(counts)
-    if made.left.get(capacity):
-        made.add([capacity], made.left[capacity])
+def fitted(counts: dict[int, int], capacity: int, grid: int, most: int) -> tuple[int, list[tuple[tuple[int, ...], float]]]:
+    """The width of a grid cell, and patterns of grid lengths with their fitted repeats, the most repeated first."""
     grid = min(grid, capacity)
     cell = -(-capacity // grid)
-    by_cell = np.bincount([-(-n // cell) for n in made.left], weights=list(made.left.values()), minlength=grid + 1)[1:] if made.left else np.zeros(grid)
-    if total := by_cell.sum():
-        grid_lengths = capacity // cell
-        found = patterns(grid_lengths, most)
-        a = np.zeros((len(by_cell), len(found)))
-        for j, p in enumerate(found):
-            for b in p:
-                a[b - 1, j] += 1
-        repeats = np.rint(nnls(a, by_cell / total) * total * CARRIED_OUT).astype(int)
-        for j in sorted(np.flatnonzero(repeats), key=lambda j: (-repeats[j], j)):
-            todo = int(repeats[j])
-            while todo:
-                lengths: list[int] = []
-                used: Counter[int] = Counter()
-                for b in found[j][:-1]:
-                    n = made.longest(b * cell, used)
-                    if n <= (b - 1) * cell:  # none of this grid length is left
-                        break
-                    lengths.append(n)
-                    used[n] += 1
-                else:
-                    if lengths or made.longest(capacity, used) > (found[j][0] - 1) * cell:
-                        todo -= made.add(made.fill(lengths, capacity), todo)
+    by_cell = np.bincount([-(-n // cell) for n in counts], weights=list(counts.values()), minlength=grid + 1)[1:] if counts else np.zeros(grid)
+    total = by_cell.sum()
+    if not total:
+        return cell, []
+    found = patterns(capacity // cell, most)
+    a = np.zeros((len(by_cell), len(found)))
+    for j, p in enumerate(found):
+        for b in p:
+            a[b - 1, j] += 1
+    repeats = nnls(a, by_cell / total) * total
+    return cell, [(found[j], float(repeats[j])) for j in sorted(np.flatnonzero(repeats > 0.5), key=lambda j: (-repeats[j], j))]
+
+
+def carried_out(counts: dict[int, int], capacity: int, cell: int, fit: list[tuple[tuple[int, ...], float]], share: float) -> Plan:
+    """A plan of this share of the fitted repeats, as far as they give well filled sequences, and of the residual."""
+    made, loose = Plan(counts), int(capacity * LOOSE)
+    if made.left.get(capacity):
+        made.add([capacity], made.left[capacity])
+    for pattern, repeats in fit if share else ():
+        todo = round(repeats * share)
+        while todo > 0:
+            lengths: list[int] = []
+            used: Counter[int] = Counter()
+            for b in pattern[:-1]:
+                n = made.longest(b * cell, used)
+                if n <= (b - 1) * cell:  # none of this grid length is left
+                    break
+                lengths.append(n)
+                used[n] += 1
+            else:
+                if lengths or made.longest(capacity, used) > (pattern[0] - 1) * cell:
+                    lengths = made.fill(lengths, capacity)
+                    if capacity - sum(lengths) <= loose:  # otherwise its pieces stay for the residual
+                        todo -= made.add(lengths, todo)
                         continue
-                break
+            break
+    made.fitted = made.sequences
     while made.mask:
         made.add(made.fill([], capacity), 1 << 62)
     return made
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY, grid: int = GRID, most: int = PATTERN_DOCUMENTS) -> Plan:
+    """The plan with the fewest sequences among SHARES of the fit, the largest share if several have as few.
+
+    Without any pattern the residual is all there is, and packing it longest first is first-fit decreasing: no plan is worse.
+    """
+    cell, fit = fitted({n: c for n, c in counts.items() if c and n < capacity}, capacity, grid, most)
+    least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for share in SHARES:
+        made = carried_out(counts, capacity, cell, fit, share)
+        if best is None or made.sequences < best.sequences:
+            best = made
+        if best.sequences == least:
+            break
+    return best
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """`pieces` with its column `part` replaced by `rank`, from 0, among those of the same length."""
     counts = pieces.groupBy("length", "part").count()
