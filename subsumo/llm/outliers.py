@@ -4,13 +4,15 @@ Base rules reject texts of under 50 words or of mostly repeated 3-word windows.
 gets a minimum-covariance-determinant estimate of location and scatter of transformed statistics (VECTOR), and a
 document whose squared Mahalanobis distance exceeds a chi-squared quantile is rejected.
 
-The estimate takes concentration steps over all documents: from the median and a diagonal scatter, each step keeps the
-share `SHARE` of a group nearest to the last estimate and takes their mean and covariance. Which those are is read off a
+The estimate takes concentration steps over all documents from three starts (medians with two diagonal scatters, plain
+moments): each step keeps the share `SHARE` of a group nearest to the last estimate and takes their mean and covariance, and
+of the three results that of the least determinant counts. Which those are is read off a
 histogram of distances whose bins carry counts, sums and sums of products, so that a step is one aggregation with map-side
 combination, however large a group is; the kept share is rounded up to a whole bin. Statistics are fixed-point
 integers, hence the sums are exact and independent of the order of rows. Groups of under `LEAST` documents use their
 language's estimate, languages of under `LEAST` that of all; under `LEAST` in all, nothing is rejected. Variances have
-floors, since a statistic that is constant in most documents would make any other value an outlier.
+floors in every direction, since a statistic that is constant in most documents would make any other value an outlier.
+A distance equal to the limit is kept; texts of any length are read whole, one by one.
 
 Null texts are empty: they have no words and fail the base rules. Null languages or sources are groups of their own.
 Repeated rows count as often as they occur and get the same verdict; extra columns pass through; an empty table gives
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .textstats import FEATURES, counts, ratios
+from .textstats import FEATURES, measured as table_of, ratios
 
 VECTOR = ("word_length", "symbols", "repeats", "upper", "bangs", "variety")
 P = len(VECTOR)
@@ -81,7 +83,7 @@ def text_statistics(text: Column) -> Column:
 
     @F.arrow_udf(STATISTICS)
     def measure(texts: pa.Array) -> pa.Array:
-        c = np.array([counts(t) for t in texts.to_pylist()], np.int64).reshape(len(texts), -1)
+        c = table_of(texts)
         v = vectors(c)
         arrays = [pa.array(np.ascontiguousarray(c[:, k])) for k in range(len(BASE))] + [pa.array(np.ascontiguousarray(v[:, k])) for k in range(P)]
         return pa.StructArray.from_arrays(arrays, [*BASE, *VECTOR])
@@ -103,21 +105,45 @@ def triangle(inverse: np.ndarray) -> list[float]:
     return [float(inverse[i, j]) * (1 if i == j else 2) for i, j in PAIRS]
 
 
+def floored(cov: np.ndarray) -> np.ndarray:
+    """`cov` with no direction's variance below that of the floors: eigenvalues in units of the floors are at least one."""
+    unit = FLOOR * UNIT
+    values, directions = np.linalg.eigh(cov / np.outer(unit, unit))
+    return (directions * np.maximum(values, 1.0)) @ directions.T * np.outer(unit, unit)
+
+
+def scatter_of(n: float, sums, products, consistency: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance, the latter with its floors."""
+    mean = np.array([float(x) for x in sums]) / n
+    cov = np.zeros((P, P))
+    for (i, j), s in zip(PAIRS, products, strict=True):
+        cov[i, j] = cov[j, i] = float(s) / n - mean[i] * mean[j]
+    return mean, floored(cov * consistency)
+
+
+def estimates_of(pdf: pd.DataFrame, start: list[int], rows: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    keys = pdf[["level", "g_lang", "g_source"]].iloc[rows].reset_index(drop=True)
+    return keys.assign(start=start, center=[c.tolist() for c, _ in found], inverse=[triangle(np.linalg.inv(v)) for _, v in found], spread=[float(np.linalg.slogdet(v)[1]) for _, v in found])
+
+
+def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Three starts of each group: the medians with the floors as scatter, the medians with scatter by quartiles, and the plain moments."""
+    number, rows, found = [], [], []
+    for k, row in enumerate(pdf.itertuples(index=False)):
+        q = np.array([list(x) for x in row.quartiles], float)
+        wide = np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR * UNIT)
+        of_group = [(q[:, 1], np.diag((FLOOR * UNIT) ** 2)), (q[:, 1], np.diag(wide**2)), scatter_of(float(row.n), row.sums, row.products, 1.0)]
+        number, rows, found = number + list(range(len(of_group))), rows + [k] * len(of_group), found + of_group
+    return estimates_of(pdf, number, rows, found)
+
+
 def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Center and inverse scatter of each row of sums."""
-    out = []
-    for row in pdf.itertuples(index=False):
-        n = float(row.n)
-        mean = np.array([float(x) for x in row.sums]) / n
-        cov = np.zeros((P, P))
-        for (i, j), s in zip(PAIRS, row.products, strict=True):
-            cov[i, j] = cov[j, i] = float(s) / n - mean[i] * mean[j]
-        cov = cov * CONSISTENCY + np.diag((FLOOR * UNIT) ** 2)
-        out.append((mean.tolist(), triangle(np.linalg.inv(cov))))
-    return pd.DataFrame({"level": pdf["level"], "g_lang": pdf["g_lang"], "g_source": pdf["g_source"], "center": [o[0] for o in out], "inverse": [o[1] for o in out]})
-
-
-ESTIMATES = "level int, g_lang string, g_source string, center array<double>, inverse array<double>"
+    """Center, inverse scatter and its log determinant of each row of sums."""
+    found = [scatter_of(float(row.n), row.sums, row.products, CONSISTENCY) for row in pdf.itertuples(index=False)]
+    return estimates_of(pdf, list(pdf["start"]), list(range(len(pdf))), found)
+
+
+ESTIMATES = "level int, g_lang string, g_source string, start int, center array<double>, inverse array<double>, spread double"
 KEYS = ["level", "g_lang", "g_source"]
 
 
@@ -147,29 +173,32 @@ def fit(narrow: DataFrame) -> tuple[DataFrame, int]:
     sizes = saved(counted.where(F.col("size") >= LEAST), "sizes")
     groups = sizes.count()
     points = saved(with_estimates(at_levels(weighted), sizes, groups), "points")
-    medians = points.groupBy(*KEYS).agg(F.array(*[F.percentile_approx(v, 0.5, 10_000).cast("double") for v in VECTOR]).alias("center"))
-    start = triangle(np.diag(1 / (FLOOR * UNIT) ** 2))
-    estimates = saved(medians.withColumn("inverse", F.array(*[F.lit(a) for a in start])), "start")
     w, values = F.col("w"), [F.col(v) for v in VECTOR]
+    moments = [
+        F.sum("w").alias("n"),
+        F.array(*[F.sum(w * a) for a in values]).alias("sums"),
+        F.array(*[F.sum(w * values[i] * values[j]) for i, j in PAIRS]).alias("products"),
+    ]
+    quartiles = F.array(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).cast("array<double>") for v in VECTOR]).alias("quartiles")
+    # A vector counts once in the quartiles: they only begin the search.
+    first = points.groupBy(*KEYS).agg(quartiles, *moments)
+    estimates = saved(first.mapInPandas(lambda parts: map(starts, parts), ESTIMATES), "start")
+    runs = [*KEYS, "start"]
     for _ in range(STEPS):
         near = with_estimates(points, estimates, groups)
         square = distance(F.col("center"), F.col("inverse"), values)
         binned = near.withColumn("bin", F.least(F.greatest(F.floor(F.log(square + 1e-3) * BINS_PER_E) + 112, F.lit(0)), F.lit(BINS - 1)).cast("int"))
-        sums = binned.groupBy(*KEYS, "bin").agg(
-            F.first("size").alias("size"),
-            F.sum("w").alias("n"),
-            F.array(*[F.sum(w * a) for a in values]).alias("sums"),
-            F.array(*[F.sum(w * values[i] * values[j]) for i, j in PAIRS]).alias("products"),
-        )
-        before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = binned.groupBy(*runs, "bin").agg(F.first("size").alias("size"), *moments)
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*runs).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         kept = sums.withColumn("before", before).where(F.col("before") < F.ceil(F.col("size") * SHARE))
-        whole = kept.groupBy(*KEYS).agg(
+        whole = kept.groupBy(*runs).agg(
             F.sum("n").alias("n"),
             F.array(*[F.sum(F.col("sums")[i]) for i in range(P)]).alias("sums"),
             F.array(*[F.sum(F.col("products")[k]) for k in range(len(PAIRS))]).alias("products"),
         )
         estimates = saved(whole.mapInPandas(lambda parts: map(estimate, parts), ESTIMATES), "estimates")
-    return estimates, groups
+    least = F.min(F.struct("spread", "start", "center", "inverse"))
+    return saved(estimates.groupBy(*KEYS).agg(least.alias("e")).select(*KEYS, "e.center", "e.inverse", "e.spread"), "least"), groups
 
 
 def judged(docs: DataFrame, estimates: DataFrame, groups: int, statistics: str, lang: str = "lang", source: str = "source") -> DataFrame:

@@ -76,5 +76,32 @@ def test_estimate_resists_contamination(spark):
     for r in estimates.collect():
         assert np.abs(np.array(r.center) - 5000).max() < 60
         spread = np.sqrt(np.diag(np.linalg.inv([[r.inverse[outliers.PAIRS.index((min(i, j), max(i, j)))] / (1 if i == j else 2) for j in range(outliers.P)] for i in range(outliers.P)])))
-        want = np.sqrt(400**2 + (outliers.FLOOR * outliers.UNIT) ** 2)
+        want = np.maximum(400, outliers.FLOOR * outliers.UNIT)
         assert (np.abs(spread / want - 1) < 0.25).all()  # a kept share above the clean one widens it
+
+
+def test_floors_are_least_variances_of_every_direction():
+    unit = outliers.FLOOR * outliers.UNIT
+    rng = np.random.default_rng(2)
+    turn = np.linalg.qr(rng.normal(size=(outliers.P, outliers.P)))[0]
+    cov = (turn * [0, 0.25, 0.99, 1.5, 4, 100]) @ turn.T * np.outer(unit, unit)
+    got = np.linalg.eigvalsh(outliers.floored(cov) / np.outer(unit, unit))
+    assert np.allclose(got, [1, 1, 1, 1.5, 4, 100])
+
+
+def test_the_least_determinant_counts(spark):
+    """Rows on a tight line and a wide cloud nearer to the medians: the start that ends on the line wins."""
+    rng = np.random.default_rng(7)
+    tight, wide = rng.normal(3000, 30, (1300, outliers.P)), rng.normal(9000, 900, (700, outliers.P))
+    rows = [(100, 0, 0, 0, 0, *map(int, v)) for v in np.vstack([tight, wide])]
+    names = [*outliers.BASE, *outliers.VECTOR]
+    frame = spark.createDataFrame(rows, names).selectExpr("'en' as lang", "'s' as source", f"struct({','.join(names)}) as s")
+    for r in outliers.fit(frame)[0].collect():
+        assert np.abs(np.array(r.center) - 3000).max() < 30
+
+
+def test_long_text_and_empty_table(spark, tmp_path):
+    long = sentences(random.Random(1), 200_000)
+    spark.createDataFrame([(1, long, "en", "hot", "x")], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    row = outliers.query(spark, str(tmp_path)).first()
+    assert row.n_words == 200_000 and list(row[1:6]) == brute(long) and row.kept
