@@ -5,7 +5,8 @@ Further spans are reported only once their structure is confirmed: base64 or hex
 
 * `jwt`: a signed token, whose header is a JSON object that names an algorithm and whose payload is a JSON object;
 * `key`: a DER private key (PKCS#1, PKCS#8, SEC1, DSA), whose nested lengths fill each other exactly, or an OpenSSH
-  private key, whose length-prefixed strings end with it; in PEM armour (the span covers it) or bare;
+  private key, whose length-prefixed strings end with it; in PEM armour (the span covers it) or bare; in armour also an
+  encrypted key, whose header names a cipher and an initial vector and whose body has whole cipher blocks;
 * `nested`: printable text that in turn holds an assignment, an access key id, a signed token or an armoured key.
 
 Spans are in code points, the end exclusive, ordered by start, then kind as listed, then end. Null and empty texts have
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, held, slices, table
 
 KINDS = ("assign", "access", "hex", "jwt", "key", "nested")
 BASE_KINDS = KINDS[:3]
@@ -37,7 +38,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,4}PRIVATE KEY)-----")
+ENCRYPTED = re.compile(r"^Proc-Type: *4, *ENCRYPTED *$", re.M)
+DEK_INFO = re.compile(r"^DEK-Info: *([A-Z0-9-]+), *([0-9A-Fa-f]+) *$", re.M)
 ARMOUR_HEADER = re.compile(r"^[A-Za-z-]+: .*$", re.M)
 LEAST_BASE64 = 24
 
@@ -131,17 +134,29 @@ def is_token(text: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str) and head["alg"].lower() != "none"
 
 
+def is_encrypted_key(header: str, data: bytes | None) -> bool:
+    """A cipher with its initial vector in the header, and whole cipher blocks."""
+    cipher = DEK_INFO.search(header)
+    if not data or not cipher or not ENCRYPTED.search(header):
+        return False
+    block = len(cipher[2]) // 2
+    return block == (16 if cipher[1].startswith(("AES", "CAMELLIA")) else 8) and len(data) >= 32 and len(data) % block == 0
+
+
 def armoured(text: str) -> list[tuple[int, int]]:
-    found, at = [], 0
-    while m := ARMOUR.search(text, at):
-        foot = f"-----END {m[1]}-----"
-        end = text.find(foot, m.end())
-        at = m.end()
-        if end < 0:
-            continue
-        if is_key(decoded("".join(ARMOUR_HEADER.sub("", text[m.end() : end]).split()))) or "ENCRYPTED" in text[m.end() : end]:
-            at = end + len(foot)
-            found.append((m.start(), at))
+    """Spans from a BEGIN line to the END line of its label with no other line of the kind between, if there is a key."""
+    found, begun = [], None
+    for m in ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begun = m
+        elif begun:
+            if begun[2] == m[2]:
+                inside = text[begun.end() : m.start()]
+                header = "\n".join(ARMOUR_HEADER.findall(inside))
+                data = decoded("".join(ARMOUR_HEADER.sub("", inside).split()))
+                if is_key(data) or is_encrypted_key(header, data):
+                    found.append((begun.start(), m.end()))
+            begun = None
     return found
 
 
@@ -203,7 +218,8 @@ def find_secrets(text: Column) -> Column:
 
     @F.arrow_udf(SPAN)
     def find(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t)] for t in texts.to_pylist()], kind)
+        held("secrets", bool)  # what another operator keeps in this worker goes
+        return pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t)] for part in slices(texts) for t in part], kind)
 
     return find(text)
 
@@ -227,7 +243,7 @@ def redacted(text: str | None, spans: list[dict] | None) -> str | None:
 def redact(text: Column, spans: Column) -> Column:
     @F.arrow_udf("string")
     def replace(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([redacted(t, s) for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+        return pa.array([redacted(t, s) for part, spans in zip(slices(texts), slices(found), strict=True) for t, s in zip(part, spans, strict=True)], pa.string())
 
     return replace(text, spans)
 
