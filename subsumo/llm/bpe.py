@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import sys
 from array import array
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -23,8 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import LONGEST_KEPT, ChunkCache
-from .common import table
+from .chunks import ChunkCache
+from .common import held, slices, table
 
 #: The split pattern of the byte-level vocabularies (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,7 +46,7 @@ def pack(ids: list[int]) -> bytes:
 class MergeQueueBPE:
     """A byte-level BPE read from a tokenizers file."""
 
-    def __init__(self, path: str, entries: int = 900_000):
+    def __init__(self, path: str, limit: int = 160 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -66,7 +65,7 @@ class MergeQueueBPE:
         self.words = [words[i] for i in range(max(words) + 1)]
         self.pieces = regex.compile(SPLIT).findall
         self.special_parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda text: [text]
-        self.cache = ChunkCache(lambda chunks: map(self.packed, chunks), tuple(self.special), entries)
+        self.cache = ChunkCache(lambda chunks: map(self.packed, chunks), tuple(self.special), limit)
 
     def merged(self, piece: bytes) -> list[int]:
         start, ranks, made = self.start, self.ranks, self.made
@@ -114,8 +113,7 @@ class MergeQueueBPE:
             for piece in self.pieces(part):
                 if (ids := kept.get(piece)) is None:
                     ids = pack(self.merged(piece.encode()))
-                    if len(piece) <= LONGEST_KEPT:
-                        kept[piece] = ids
+                    self.cache.keep(piece, ids)
                 out.append(ids)
         return b"".join(out)
 
@@ -127,10 +125,9 @@ class MergeQueueBPE:
         return b"".join([words[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
 def bpe(path: str) -> MergeQueueBPE:
-    """One per Python worker and file."""
-    return MergeQueueBPE(path)
+    """The one of this Python worker."""
+    return held(("merge queue", path), lambda: MergeQueueBPE(path))
 
 
 def bpe_encode(text: Column, path: str) -> Column:
@@ -138,7 +135,8 @@ def bpe_encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        found = bpe(path).cache.encode(texts.to_pylist())
+        cache = bpe(path).cache
+        found = [ids for part in slices(texts) for ids in cache.encode(part)]
         ends = np.cumsum([0, *(len(b) // 4 for b in found)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int32)))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import own_folder
+from ..storage import new_path, saved as saved
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -17,28 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path and sc._jsc.sc().getCheckpointDir().isDefined():
-        path = sc._jsc.sc().getCheckpointDir().get()
-    path = path or own_folder()
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
+
+
+#: What this Python worker keeps from batch to batch: of one operator at a time, since workers serve one after the other.
+KEPT: dict = {}
+
+
+def held(key, make: Callable):
+    """What `make` gives, kept until the worker turns to another key."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def slices(values: pa.Array | pa.RecordBatch, size: int = 256) -> Iterator[list]:
+    """The values as Python lists of bounded length, whatever the size of the batch."""
+    for at in range(0, len(values), size):
+        yield values.slice(at, size).to_pylist()
 
 
 def free_name(df: DataFrame, wish: str) -> str:
