@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 # Names of HTML elements and roles, and the words that name boilerplate in class and id.
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
@@ -296,7 +296,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
 def main_text(page: Column) -> Column:
     @F.arrow_udf("string")
     def extract(pages: pa.Array) -> pa.Array:
-        return pa.array(main_texts(pages.to_pylist()), pa.string())
+        return pa.array([text for part in slices(pages) for text in main_texts(part)], pa.string())
 
     return extract(page)
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import held, saved, table
 from .components import components
 
 #: Links are 100 * intersection >= LEAST * union.
@@ -107,9 +107,6 @@ class WordHashes(dict):
         return h
 
 
-WORD_HASHES = WordHashes()
-
-
 @lru_cache(maxsize=None)
 def factors(width: int) -> np.ndarray:
     """Odd factors of the words of a shingle."""
@@ -121,7 +118,7 @@ def hashed_set(words: list[bytes], rule: Rule = OWN) -> np.ndarray:
     n, width = len(words), rule.width
     if not n:
         return np.zeros(0, U64)
-    h = np.fromiter(map(WORD_HASHES.__getitem__, words), U64, n)
+    h = np.fromiter(map(held("word hashes", WordHashes).__getitem__, words), U64, n)
     if n < width:
         return mixed(np.array([(h * factors(width)[1 : n + 1]).sum(dtype=U64) + U64(n)], U64))
     turned, total = mixed(h), np.zeros(n - width + 1, U64)
@@ -256,7 +253,7 @@ def text_digest(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def measure(texts: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts.to_pylist()], pa.binary())
+        return pa.array([xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in texts], pa.binary())
 
     return measure(text)
 
@@ -267,7 +264,7 @@ def verified(a: Column, b: Column, rule: Rule) -> Column:
     @F.arrow_udf("boolean")
     def verify(left: pa.Array, right: pa.Array) -> pa.Array:
         out, last, held = [], None, set()
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+        for x, y in ((a.as_py(), b.as_py()) for a, b in zip(left, right, strict=True)):
             if x != last:
                 last, held = x, shingles(x, rule)
             out.append(linked(held, shingles(y, rule), rule))
@@ -491,7 +488,7 @@ def one_of_each(docs: DataFrame, rule: Rule = OWN) -> DataFrame:
     rest = docs.select(row, "doc_id", key)
     rest = rest.join(narrow(dropped, BROADCAST_PAIRS), same, "left_anti")
     if not repeated.isEmpty():
-        twice = rest.join(narrow(repeated, BROADCAST_PAIRS), same, "left_semi").groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
+        twice = rest.join(narrow(repeated, BROADCAST_PAIRS), same, "left_semi").groupBy("doc_id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
         rest = rest.join(narrow(repeated, BROADCAST_PAIRS), same, "left_anti").select("row").unionByName(twice.select("row"))
     return rest.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, table
-from .textstats import FEATURES, ratios, table_of
+from .textstats import FEATURES, measured, ratios
 
 #: At most so many labelled documents are learnt from.
 TRAINING_ROWS = 20_000
@@ -98,7 +98,7 @@ def held_out(doc_id: Column) -> Column:
 def statistics(text: Column) -> Column:
     @F.arrow_udf("array<double>")
     def measure(texts: pa.Array) -> pa.Array:
-        return pa.array(list(ratios(table_of(texts.to_pylist()))), pa.list_(pa.float64()))
+        return pa.array(list(ratios(measured(texts))), pa.list_(pa.float64()))
 
     return measure(text)
 
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> For
 def quality_score(text: Column, forest: Forest) -> Column:
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(forest.score(ratios(table_of(texts.to_pylist()))), pa.float64())
+        return pa.array(forest.score(ratios(measured(texts))), pa.float64())
 
     return score(text)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
+
+from .common import held, slices
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -62,9 +65,10 @@ def counts(text: str | None) -> list[int]:
     ]
 
 
-def table_of(texts: list[str | None]) -> np.ndarray:
+def measured(texts: pa.Array) -> np.ndarray:
     """A row of counts for each text."""
-    return np.array([counts(t) for t in texts], np.int64).reshape(len(texts), len(FIELDS))
+    held("statistics", bool)  # what another operator keeps in this worker goes
+    return np.array([counts(t) for part in slices(texts) for t in part], np.int64).reshape(len(texts), len(FIELDS))
 
 
 FEATURES = ("log words", "word length", "symbols", "repeated lines", "repeated words", "words in a line", "distinct", "upper", "digits", "stops", "commas", "bangs", "wide", "longest")

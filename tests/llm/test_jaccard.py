@@ -8,9 +8,9 @@ from subsumo.llm.components import components
 from subsumo.llm.jaccard import all_keys, linked, shingles
 
 
-def brute(rows):
+def brute(rows, rule=jaccard.OWN):
     """(doc_id, n_shingles, component_id) by comparing all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, rule) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -20,7 +20,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if linked(sets[i], sets[j]):
+            if linked(sets[i], sets[j], rule):
                 root[find(i)] = find(j)
     least = {}
     for i, (doc_id, _) in enumerate(rows):
