@@ -54,7 +54,7 @@ BITS = 1024
 AGREEMENT, PARTNERS = 0.3, 1e4
 #: Families of up to SMALL members with ELEMENTS shingles in all are decided within a task after the first round; in the
 #: groups of larger ones PIVOTS members a round meet the others.
-SMALL, ELEMENTS, PIVOTS = 4096, 2_000_000, 32
+SMALL, ELEMENTS, PIVOTS = 4096, 2_000_000, 256
 #: Rows and columns of the incidence matrix that are multiplied at once.
 ROWS, COLUMNS = 512, 1024
 #: Up to so many rows of ids (8 to 40 bytes each) are broadcast, so that keys and texts need no shuffle; beyond, both sides are shuffled.
@@ -221,7 +221,8 @@ def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode(first("text")).alias("key"))
     often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
-    return np.sort(np.array([r.key for r in often.orderBy(F.desc("c"), "key").limit(COMMON).collect()], np.int64).view(U64))
+    found = often.orderBy(F.desc("c"), "key").limit(COMMON).select("key").toArrow()  # eight bytes each
+    return np.sort(found["key"].to_numpy().astype(np.int64).view(U64))
 
 
 FACTS = "struct<digest:binary,n:int,exact:array<long>,deleted:array<long>,sketch:binary>"
@@ -278,15 +279,19 @@ def narrow(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
-def possible(pairs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sketches admit a link."""
+def possible(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sketches (uid, n, sketch) admit a link."""
 
     @F.arrow_udf("int")
     def differing(left: pa.Array, right: pa.Array) -> pa.Array:
-        bits = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right)]
-        return pa.array(np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int32), pa.int32())
-
-    left, right = (rows.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        out = np.zeros(len(left), np.int32)
+        for at in range(0, len(left), ROWS):
+            bits = [np.frombuffer(b"".join(x.slice(at, ROWS).to_pylist()), np.uint8).reshape(-1, BITS // 8) for x in (left, right)]
+            out[at : at + ROWS] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int32)
+        return pa.array(out, pa.int32())
+
+    known = narrow(sketches, BROADCAST_PAIRS)
+    left, right = (known.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("d", differing(F.col("sketch_a"), F.col("sketch_b")))
     return saved(both.where((100 + rule.least) * (F.col("n_a") + F.col("n_b") - F.col("d")) >= 2 * rule.least * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "possible")
 
@@ -329,11 +334,22 @@ def texts_of(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFra
     return found if once else saved(found.groupBy("uid").agg(F.min("text").alias("text")), "texts")  # rows that repeat
 
 
-def labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`members` with the component of each, and the components of `links`."""
-    found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    out = members.join(found.select(F.col("u").alias("uid"), "label"), "uid", "left")
-    return out.withColumn("label", F.coalesce("label", "uid")), found
+def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """`members` with the component of each; `found` (u, label) are the components of more than one."""
+    out = members.join(narrow(found).withColumnRenamed("u", "uid"), "uid", "left")
+    return out.withColumn("label", F.coalesce("label", "uid"))
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components `found` (u, label) after further `links` (a, b): only the components that these join are looked at again."""
+    if links.isEmpty():
+        return found
+    ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).distinct()
+    every = found.unionByName(ends.join(narrow(found), "u", "left_anti").select("u", F.col("u").alias("label")))
+    a, b = (every.select(F.col("u").alias(x), F.col("label").alias(f"of_{x}")) for x in "ab")
+    joints = links.join(a, "a").join(b, "b").where("of_a <> of_b").select(F.col("of_a").alias("u"), F.col("of_b").alias("v"))
+    moved = saved(components(joints), "moved").select(F.col("u").alias("label"), F.col("label").alias("to"))
+    return saved(every.join(narrow(moved), "label", "left").select("u", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def unsettled(members: DataFrame) -> DataFrame:
@@ -344,9 +360,12 @@ def unsettled(members: DataFrame) -> DataFrame:
 
 def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(u, label) of the representatives that link with another."""
-    look = (lambda pairs: possible(pairs, rows, rule)) if rule.least < SEGMENTS else (lambda pairs: pairs)
     members = members_of(rows, classes)
     texts = texts_of(docs, members, classes)
+    look = lambda pairs: pairs
+    if rule.least < SEGMENTS:
+        sketches = saved(rows.select("uid", "n", "sketch").join(members.select("uid").distinct(), "uid", "left_semi"), "sketches")
+        look = lambda pairs: possible(pairs, sketches, rule)
     # First round: every member of a group with its pivot.
     pivot = members.groupBy("key").agg(F.min(F.struct(~F.col("exact"), F.col("uid"), F.col("n"))).alias("p"))
     first = members.join(pivot, "key").where(F.col("uid") != F.col("p.uid")).select(F.least("p.uid", "uid").alias("a"), F.greatest("p.uid", "uid").alias("b"), close(F.col("n"), F.col("p.n"), rule).alias("near"))
@@ -355,29 +374,28 @@ def component_labels(docs: DataFrame, rows: DataFrame, classes: DataFrame, rule:
     links = links_of(look(pairs), texts, rule)
     # Every group lies in one family.
     families = components(met.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("uid"), F.col("label").alias("family"))
-    nodes, found = labelled(families.join(members.select("uid", "n").distinct(), "uid"), links)
+    found = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
+    nodes = labelled(families.join(members.select("uid", "n").distinct(), "uid"), found)
     sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"), F.min("label").alias("low"), F.max("label").alias("high"))
     sizes = saved(sizes.where("low < high").select("family", ((F.col("size") <= SMALL) & (F.col("elements") <= ELEMENTS)).alias("small")), "sizes")
     nodes = saved(nodes.join(sizes, "family").select("family", "uid", "label", "small"), "nodes")
-    decided = links_of(in_family_links(nodes.where("small"), texts, rule), texts, rule)
-    links = links.unionByName(decided)
+    found = merged(found, links_of(in_family_links(nodes.where("small"), texts, rule), texts, rule))
     large = nodes.where("not small").select("uid")
     if large.isEmpty():
-        return found if decided.isEmpty() else labelled(nodes.select("uid"), links)[1]
+        return found
     # Pivots have been compared with all others of their groups.
     rest = saved(members.join(large, "uid", "left_semi").join(pivot.select("key", F.col("p.uid").alias("uid")), ["key", "uid"], "left_anti"), "rest")
     done = pairs
     while True:
-        with_labels, found = labelled(rest, links)
-        open_ = unsettled(with_labels.select("key", "exact", "uid", "n", "label"))
+        open_ = unsettled(labelled(rest, found).select("key", "exact", "uid", "n", "label"))
         if open_.isEmpty():
             return found
         chosen = saved(pivots(open_), "pivots")
         a, b = chosen.select("key", *[F.col(c).alias(f"{c}_a") for c in ("exact", "uid", "n", "label")]), open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("exact", "uid", "n", "label")])
         found_pairs = a.join(b, "key").where("label_a <> label_b and (exact_a or exact_b)").where(close(F.col("n_a"), F.col("n_b"), rule))
         pairs = saved(found_pairs.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.unionByName(pairs)
-        links = links.unionByName(links_of(look(pairs), texts, rule))
+        done = saved(done.unionByName(pairs), "done")  # so that plans do not grow with the rounds
+        found = merged(found, links_of(look(pairs), texts, rule))
         rest = saved(open_.join(chosen.select("key", "uid"), ["key", "uid"], "left_anti").select("key", "exact", "uid", "n"), "rest")
 
 
