@@ -8,16 +8,35 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import new_path, saved as saved
+from ..storage import new_path
+from ..storage import saved as stored
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Rows of whole texts that go to a Python worker at once; the JVM's default is 10,000 of any length.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which hold whole texts on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+    small_batches(df.sparkSession)
+    return stored(df, name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return new_path(spark, name)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, held, slices, table
+from .common import free_name, held, slices, small_batches, table
 
 KINDS = ("assign", "access", "hex", "jwt", "key", "nested")
 BASE_KINDS = KINDS[:3]
@@ -250,6 +250,7 @@ def redact(text: Column, spans: Column) -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with the secrets of `text` replaced, and `n_chars`, where there is one, counted anew in changed rows."""
+    small_batches(docs.sparkSession)
     spans = free_name(docs, "spans")
     found = docs.withColumn(spans, find_secrets(F.col("text")))
     new = free_name(found, "replaced")
