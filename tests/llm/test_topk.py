@@ -6,20 +6,24 @@ from subsumo.llm import topk
 
 
 def brute(rows):
-    best = {}
-    for i, e in rows:
-        if i is None or e is None or any(x is None or not np.isfinite(x) for x in e):
-            continue
-        v = [int(np.floor(1024 * float(x))) for x in e]
-        best[i] = min(best.get(i, v), v)
+    """By the contract: every usable row is a candidate of every other one, whatever their ids."""
+    kept = [(i, [int(np.floor(1024 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q in best:
+    for k, (q, v) in enumerate(kept):
         if q % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(best[q], best[c])), c) for c in best if c != q)
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for j, (c, w) in enumerate(kept) if j != k)
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:10])]
     return sorted(out)
 
 
+def test_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [3.0, 0.0]), (6, [3_000_000.0, 0.0]), (0, [1.0, 0.0]), (100, [-1.0, 1e6]), (7, [4.0e6, 4.0e6]), (8, [float("inf"), 0.0]), (200, [2e6, 1.0]), (9, [1e5, 7.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    huge = spark.createDataFrame([(0, [1e200]), (1, [1.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(huge).collect())) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+
+
 @pytest.mark.parametrize("shape", ["even", "long tail", "copies", "few"])
 def test_equals_brute_force(spark, monkeypatch, shape):
     monkeypatch.setattr(topk, "BLOCK", 128)
