@@ -15,6 +15,13 @@ from .storage import saved
 
 PROGRAMS = ("find", "count-conditions", "count-values", "count-triples", "check-hashes")
 
+# Physical options that other programs of this kind know. They change no result, and this engine chooses by itself.
+PHYSICAL_SWITCHES = ("--use-fis", "--no-combinable-join", "--no-bulk-merge", "--rebalance-join", "--any-binary-captures", "--find-frequent-captures", "--balanced-overlap-candidates")
+PHYSICAL_NUMBERS = (
+    "--frequent-condition-strategy", "--rebalance-strategy", "--rebalance-split", "--rebalance-threshold", "--rebalance-max-load",
+    "--merge-window-size", "--debug-level", "--explicit-threshold", "--hash-bytes", "--sbf-bytes",
+)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="subsumo", description=__doc__)
@@ -40,6 +47,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--create-join-histogram", action="store_true")
     p.add_argument("--counters", action="store_true", help="print the number of dependencies of each shape")
     p.add_argument("--print-plan", action="store_true")
+    ignored = p.add_argument_group("physical options, accepted without effect")
+    for name in PHYSICAL_SWITCHES:
+        ignored.add_argument(name, action="store_true")
+    for name in PHYSICAL_NUMBERS:
+        ignored.add_argument(name, type=float)
     return p
 
 

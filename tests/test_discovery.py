@@ -181,5 +181,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert {"12", "16;0", "0;6;6"} <= set(out) and any("(support=6)" in x for x in out)
 
 
+def test_physical_options_are_accepted():
+    from subsumo.__main__ import PHYSICAL_NUMBERS, PHYSICAL_SWITCHES, parser
+
+    args = parser().parse_args(["find", "x.nt", *PHYSICAL_SWITCHES, *(y for x in PHYSICAL_NUMBERS for y in (x, "2"))])
+    assert args.use_fis and args.support == 10 and args.inputs == ["x.nt"]
+
+
+def test_a_hot_value_is_dealt_out_in_blocks(spark, monkeypatch):
+    """One value in every capture: blocks of it give the same dependencies."""
+    from subsumo.operators import pairs
+
+    rng = random.Random(8)
+    triples = [("hot", p, o) for p in "pqr" for o in "abcdef"] + [(rng.choice("uvwx"), rng.choice("pqr"), rng.choice("abcdef")) for _ in range(60)]
+    want = brute(triples, 2)
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    assert found(spark, triples, support=2, direct=True) == want
+    assert found(spark, triples, support=2, mode="levelwise") == brute_minimal(want)
+
+
 def test_every_query_has_sql():
     assert queries().keys() == oracle_sql().keys()
