@@ -46,7 +46,7 @@ LEAST = 90
 WIDTH = 3
 #: Keys are of segments from this threshold on, of prefixes below.
 SEGMENTS = 90
-#: One of SAMPLED documents is looked at for shingles that OFTEN of them or more have in their prefixes; up to COMMON are put last.
+#: One of SAMPLED documents is looked at for shingles that OFTEN of them or more have; the most frequent, up to COMMON, are put last.
 SAMPLED, OFTEN, COMMON = 8, 3, 200_000
 #: Bits of a sketch.
 BITS = 1024
@@ -191,12 +191,15 @@ def all_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def prefix(s: np.ndarray, rule: Rule, common: np.ndarray) -> np.ndarray:
-    """The first elements of the set `s` (ascending hashes), those in `common` (ascending too) last; linked sets share one."""
+def prefix(s: np.ndarray, rule: Rule, common: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """The first elements of the set `s` (ascending hashes), those in `common` (ascending too) last, by `rank` if given;
+    linked sets share one."""
     n = len(s)
     if n and len(common):
-        often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        s = np.concatenate([s[~often], s[often]])
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        often = common[at] == s
+        last = s[often] if rank is None else s[often][np.argsort(rank[at[often]])]
+        s = np.concatenate([s[~often], last])
     return s[: n - (rule.least * n + 99) // 100 + 1]
 
 
@@ -211,24 +214,26 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *arrays]).view(np.int64)))
 
 
-def common_shingles(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Shingles (hashes, ascending) that many documents have. They settle the order of prefixes, hence work, not results."""
-    none = np.zeros(0, U64)
+def common_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (hashes, ascending) that many documents have, and their ranks, the most frequent last. They settle the order
+    of prefixes, hence work, not results. Whole sets are counted: with common shingles last, any other may come into a prefix."""
 
     @F.arrow_udf("array<long>")
-    def first(texts: pa.Array) -> pa.Array:
-        return lists([prefix(hashed_set(words_of(t.as_py()), rule), rule, none) for t in texts])
+    def every(texts: pa.Array) -> pa.Array:
+        return lists([hashed_set(words_of(t.as_py()), rule) for t in texts])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode(first("text")).alias("key"))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select(F.explode(every("text")).alias("key"))
     often = sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= OFTEN)
     found = often.orderBy(F.desc("c"), "key").limit(COMMON).select("key").toArrow()  # eight bytes each
-    return np.sort(found["key"].to_numpy().astype(np.int64).view(U64))
+    hashes = found["key"].to_numpy().astype(np.int64).view(U64)
+    order = np.argsort(hashes)
+    return hashes[order], len(order) - order
 
 
 FACTS = "struct<digest:binary,n:int,exact:array<long>,deleted:array<long>,sketch:binary>"
 
 
-def facts(text: Column, rule: Rule = OWN, often: np.ndarray | None = None) -> Column:
+def facts(text: Column, rule: Rule = OWN, often: tuple[np.ndarray, np.ndarray] | None = None) -> Column:
     """Digest of the word sequence, size of the set, and its keys; of prefixes where `often` is given, with a sketch."""
 
     @F.arrow_udf(FACTS)
@@ -237,7 +242,7 @@ def facts(text: Column, rule: Rule = OWN, often: np.ndarray | None = None) -> Co
         for text in (t.as_py() for t in texts):
             words = words_of(text)
             s = hashed_set(words, rule)
-            e, d = all_keys(s) if often is None else (prefix(s, rule, often), np.zeros(0, U64))
+            e, d = all_keys(s) if often is None else (prefix(s, rule, *often), np.zeros(0, U64))
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(s))
             exact.append(e)
