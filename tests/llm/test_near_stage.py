@@ -65,3 +65,18 @@ def test_prefixes_and_sketches_miss_no_link():
             bits = [np.frombuffer(jaccard.sketch(s), np.uint8) for s in (x, y)]
             assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(a ^ b)
     assert seen > 500
+
+
+def test_common_passage_stays_out_of_prefixes(spark):
+    """A passage of a third of each document is common as a whole, wherever its hashes fall; the most frequent come last."""
+    rng, rule = random.Random(6), jaccard.Rule(5, 80)
+    passage = " ".join("s%d" % i for i in range(44))
+    texts = [passage + " " + " ".join("u%d" % rng.randrange(10**9) for _ in range(100)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common, rank = jaccard.common_shingles(docs, rule)
+    shared = set(jaccard.hashed_set(jaccard.words_of(passage), rule).tolist())
+    assert shared <= set(common.tolist()) and sorted(rank.tolist()) == list(range(1, len(common) + 1))
+    for text in texts:
+        assert not shared & set(jaccard.prefix(jaccard.hashed_set(jaccard.words_of(text), rule), rule, common, rank).tolist())
+    s = np.arange(10, dtype=np.uint64)
+    assert jaccard.prefix(s, jaccard.Rule(5, 10), s[4:7], np.array([2, 3, 1])).tolist() == [0, 1, 2, 3, 7, 8, 9, 6, 4, 5]
