@@ -47,3 +47,39 @@ def test_table_with_nulls(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
     got = extract.query(spark, str(tmp_path)).collect()
     assert sorted(r.n_chars for r in got) == [0, 0, 35, 35]
+
+
+def words(n: int, word: str = "word") -> str:
+    return " ".join([word] * n)
+
+
+def test_wrappers_take_no_article_away():
+    article = f"<article><p>{words(40)}</p><p>Short.</p></article>"
+    for page in (
+        f"<div class='layout-with-sidebar'>{article}</div>",
+        f"<div class='page sidebar'>{article}</div>",
+        f"<form id=all><div class='top-nav'><a>Home</a></div>{article.replace('article', 'div').replace('<div>', '<div id=content>')}<footer>Made by us</footer></form>",
+        f"<div class='ad-free-wrapper'>{article}<aside>x</aside></div>",
+    ):
+        assert main_texts([page]) == [f"{words(40)} Short."], page
+    # other articles and longer plain texts stay the main ones
+    assert main_texts([f"{article}<div class=sidebar><article>{words(90, 'aside')}</article></div>"]) == [f"{words(40)} Short."]
+    assert main_texts([f"<p>{words(40)}</p><p>{words(30)}</p><section id=comments><article>{words(200, 'nice')}</article></section>"]) == [words(70)]
+
+
+def test_pages_without_article():
+    assert main_texts([f"<p>{words(30)}</p><p>{words(31)}</p><p>{words(32)}</p>", "<body><p>only one</p></body>", "bare text"]) == [words(93), "only one", "bare text"]
+    menu, end = "<div><a>Home</a></div><div><a>All news</a></div>", "<div><a>About us</a> <a>Help</a></div><footer>Some rights</footer>"
+    for body in ([25, 3], [33, 9, 70, 2, 48], [100, 3, 8, 60], [21]):
+        assert main_texts([menu + "".join(f"<p>{words(n)}</p>" for n in body) + end]) == [words(sum(body))], body
+    assert main_texts([f"<form>{menu}<p>{words(50)}</p><p>{words(64)}</p></form>", f"<p>{words(40)}</p><form><label>Your name</label></form>"]) == [words(114), words(40)]
+
+
+def test_very_long_page():
+    page = "<nav><a>x</a></nav><article>" + "<p>one &amp; two</p><div class=ad>no</div>" * 100_000 + "</article>"
+    assert main_texts([page]) == [" ".join(["one & two"] * 100_000)]
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string, n_chars string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert extract.query(spark, str(tmp_path)).collect() == []
