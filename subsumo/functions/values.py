@@ -33,23 +33,28 @@ def asciify(value: Column) -> Column:
 
 
 def shorten(triples: DataFrame, prefixes: DataFrame, columns: tuple[str, ...] = ("s", "p", "o")) -> DataFrame:
-    """Values <url...> with their longest prefix from `prefixes` (prefix, url) as prefix:rest.
+    """Values <url...> with their longest prefix from `prefixes` (prefix, url) as prefix:rest; a url that occurs twice is an error.
 
-    Prefix files are small and are folded into the plan as one expression; a url that occurs twice is an error.
+    Values meet the urls that begin as they do, up to the length of the shortest url, in a join; Spark broadcasts the
+    prefixes if they are small enough.
     """
-    known = sorted(((r["url"], r["prefix"]) for r in prefixes.select("url", "prefix").collect()), key=lambda x: -len(x[0]))
-    if len({u for u, _ in known}) < len(known):
+    known = prefixes.select("prefix", "url")
+    n, distinct, least = known.agg(F.count(F.lit(1)), F.count_distinct("url"), F.min(F.length("url"))).first()
+    if distinct < n:
         raise ValueError("a prefix url occurs twice")
-
-    def short(value: Column) -> Column:
-        out = value
-        for url, prefix in reversed(known):  # the longest is asked first
-            key = f"<{url}"
-            rest = F.substring(value, F.lit(len(key) + 1), F.length(value) - len(key) - 1)
-            out = F.when(value.startswith(key), F.concat(F.lit(f"{prefix}:"), rest)).otherwise(out)
-        return F.when(value.endswith(">"), out).otherwise(value) if known else value
-
-    return triples.withColumns({c: short(F.col(c)) for c in columns})
+    if not n:
+        return triples
+    options = F.sort_array(F.collect_list(F.struct(F.length("url").alias("n"), "url", "prefix")), asc=False)
+    stems = known.groupBy(F.substring("url", 1, least).alias("stem")).agg(options.alias("options"))  # the longest come first
+    out = triples
+    for c in columns:
+        value, stem, choice = F.col(c), f"{c} stem", f"{c} options"
+        begins = F.when(value.startswith("<") & value.endswith(">"), F.substring(value, 2, least))
+        out = out.join(stems.select(F.col("stem").alias(stem), F.col("options").alias(choice)), begins == F.col(stem), "left")
+        best = F.get(F.filter(choice, lambda x: F.startswith(value, F.concat(F.lit("<"), x["url"]))), F.lit(0))  # noqa: B023
+        rest = F.substring(value, best["n"] + 2, F.length(value) - best["n"] - 2)
+        out = out.withColumn(c, F.coalesce(F.concat(best["prefix"], F.lit(":"), rest), value))
+    return out.select(triples.columns)
 
 
 def digest(value: Column, algorithm: str = "MD5") -> Column:
