@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("program", choices=PROGRAMS)
     p.add_argument("inputs", nargs="+", help="N-Triples or N-Quads files, plain or gzip; * in the last segment")
     p.add_argument("--tabs", action="store_true", help="fields are separated by tabs")
+    p.add_argument("--pattern", help="a glob that the names of the input files must match")
+    p.add_argument("--charset", default="UTF-8", help="of the input files")
     p.add_argument("--prefixes", nargs="*", default=[], help="prefix files to shorten IRIs with")
     p.add_argument("--distinct-triples", action="store_true")
     p.add_argument("--asciify-triples", action="store_true")
@@ -66,7 +68,7 @@ def show(df: DataFrame) -> None:
 
 
 def find(spark: SparkSession, args: argparse.Namespace) -> None:
-    triples = rdf.read_triples(spark, args.inputs, args.tabs)
+    triples = rdf.read_triples(spark, args.inputs, args.tabs, args.pattern, args.charset)
     prefixes = rdf.read_prefixes(spark, args.prefixes) if args.prefixes else None
     mode = "levelwise" if args.traversal_strategy == 1 else "minimal" if args.clean_implied else "broad"
     config = Config(args.support, args.projection, mode, args.use_ars, args.distinct_triples, args.asciify_triples)
@@ -109,8 +111,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if args.program == "find":
         return find(spark, args)
     if args.program == "count-triples":
-        return show(profile.count_lines(rdf.read_lines(spark, args.inputs)))
-    triples = rdf.read_triples(spark, args.inputs, args.tabs)
+        return show(profile.count_lines(rdf.read_lines(spark, args.inputs, args.pattern, args.charset)))
+    triples = rdf.read_triples(spark, args.inputs, args.tabs, args.pattern, args.charset)
     prefixes = rdf.read_prefixes(spark, args.prefixes) if args.prefixes else None
     triples = prepared(triples, Config(distinct=args.distinct_triples), prefixes)
     if args.program == "count-conditions":

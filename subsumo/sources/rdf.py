@@ -22,10 +22,14 @@ def checked(paths: str | list[str]) -> list[str]:
     return paths
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
-    """(file, line) without comment lines; gzip by extension; a leading byte-order mark goes; `pattern`: a glob that file names must match."""
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str | None = None, charset: str = "UTF-8") -> DataFrame:
+    """(file, line) without comment lines; gzip by extension; a byte-order mark before a line goes; `pattern`: a glob that file names
+    must match; `charset`: one that Spark decodes, of 16-bit ones UTF-16LE and UTF-16BE."""
     reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
-    lines = reader.text(checked(paths)).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\\uFEFF", "").alias("line"))
+    value = F.col("value")
+    if charset.upper() != "UTF-8":  # lines come as bytes, cut at this charset's line feed
+        reader, value = reader.option("encoding", charset).option("lineSep", "\n"), F.regexp_replace(F.decode(value.cast("binary"), charset), "\r$", "")
+    lines = reader.text(checked(paths)).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(value, "^\\uFEFF", "").alias("line"))
     return lines.where(~F.col("line").startswith("#"))
 
 
@@ -41,9 +45,9 @@ def parse_triples(lines: DataFrame, tabs: bool = False, quads: bool = False) ->
     return kept.select(*[F.when(line.rlike(statement), part).otherwise(bad).alias(n) for part, n in zip(parts, "spo", strict=True)])
 
 
-def read_triples(spark: SparkSession, paths: str | list[str], tabs: bool = False) -> DataFrame:
+def read_triples(spark: SparkSession, paths: str | list[str], tabs: bool = False, pattern: str | None = None, charset: str = "UTF-8") -> DataFrame:
     """N-Quads if the first path ends in nq, else N-Triples."""
-    return parse_triples(read_lines(spark, paths), tabs, checked(paths)[0].endswith("nq"))
+    return parse_triples(read_lines(spark, paths, pattern, charset), tabs, checked(paths)[0].endswith("nq"))
 
 
 def parse_prefixes(lines: DataFrame) -> DataFrame:

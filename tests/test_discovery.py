@@ -133,6 +133,27 @@ def test_prefixes(spark, tmp_path):
         shorten(triples, prefixes.unionByName(prefixes))
 
 
+def test_many_prefixes(spark):
+    prefixes = spark.range(3000).selectExpr("concat('p', id) AS prefix", "concat('http://h', id, '/') AS url").unionByName(spark.createDataFrame([("h", "http://")], "prefix string, url string"))
+    triples = spark.createDataFrame([("<http://h2999/a>", "<http://h3000/b>", None), ("<http://h1/>", "<ftp://h1/>", "http://h1/")], SCHEMA).selectExpr("o", "s", "p", "1 AS extra")
+    got = shorten(triples, prefixes)
+    assert got.columns == ["o", "s", "p", "extra"]
+    assert {tuple(r) for r in got.collect()} == {(None, "p2999:a", "h:h3000/b", 1), ("http://h1/", "p1:", "<ftp://h1/>", 1)}
+    assert shorten(triples, prefixes.limit(0)).collect() == triples.collect()
+
+
+def test_charsets_and_patterns(spark, tmp_path):
+    rows = [("<a>", "<b>", '"Zoë"'), ("<c>", "<d>", '"né"')]
+    text = "# none\r\n" + "".join(" ".join(r) + " .\r\n" for r in rows)
+    for charset in ("UTF-8", "ISO-8859-1", "UTF-16LE", "UTF-16BE"):
+        folder = tmp_path / charset
+        folder.mkdir()
+        (folder / "x.nt").write_bytes(text.encode(charset) if charset == "ISO-8859-1" else ("\ufeff" + text).encode(charset))
+        (folder / "y.txt").write_text("no statement")
+        got = rdf.read_triples(spark, str(folder), pattern="*.nt", charset=charset)
+        assert sorted(map(tuple, got.collect())) == rows, charset
+
+
 def test_asciify(spark):
     assert chunks("abc") == "abc" and chunks("aéb") == "ai\x01b" and chunks("€") == "\x2c\x41"
     assert len(chunks("\U0001f389")) == 6
