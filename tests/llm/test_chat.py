@@ -33,3 +33,9 @@ def test_query_equals_sql(spark):
     db = duckdb.connect()
     db.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
     assert sorted(map(tuple, chat.query(spark, sf).collect())) == sorted(db.sql(chat.SQL).fetchall())
+
+
+def test_very_long_conversation(spark):
+    data = [(1, t, "user", "turn %d" % t, None) for t in range(3000)] + [(2, t, "user", "turn %d" % t, None) for t in range(2500)] + [(3, 0, "user", "word " * 200_000, None)]
+    turn = "<|im_start|>user\n%s<|im_end|>\n"
+    assert rows(spark, data) == [(1, 3000, 0, "".join(turn % f"turn {t}" for t in range(3000))), (3, 1, 0, turn % ("word " * 200_000))]

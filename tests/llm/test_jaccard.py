@@ -108,3 +108,18 @@ def test_one_of_each_keeps_columns(spark):
     assert out.columns == docs.columns
     got = sorted((r.doc_id for r in out.collect()), key=str)
     assert got == sorted([2, 9, None, 11, 12, 13], key=str)
+
+
+def test_very_long_texts(spark, tmp_path):
+    words = ["w%d" % (i * 7919 % 50_021) for i in range(200_000)]
+    near, far = list(words), list(words)
+    for i in range(0, 200_000, 150):
+        near[i] = "x"
+    for i in range(0, 200_000, 20):
+        far[i] = "x%d" % i
+    texts = {1: words, 2: near, 3: far, 4: words[:50]}
+    sets = {k: shingles(" ".join(w)) for k, w in texts.items()}
+    assert linked(sets[1], sets[2]) and not linked(sets[1], sets[3])
+    spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, jaccard.query(spark, str(tmp_path)).collect()))
+    assert got == [(k, len(sets[k]), 1 if k == 2 else k) for k in texts]

@@ -90,3 +90,12 @@ def test_query_equals_library(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert packing.query(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark, tmp_path):
+    text = "".join("words %d go on, and on\n" % (i % 997) for i in range(60_000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array([*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 1], "<u4")
+    got = sorted(packing.query(spark, str(tmp_path)).collect(), key=lambda r: r.piece)
+    assert [(r.start, r.length, r.ids_crc32) for r in got] == [(s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for s in range(0, len(ids), 4096)]
+    assert len({r.sequence_id for r in got}) == len(got) and {r.offset for r in got} == {0}

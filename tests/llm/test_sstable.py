@@ -61,3 +61,12 @@ def test_query_equals_library(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sstable.query(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_text(spark, tmp_path):
+    text = "".join("words %d go on, and on\n" % (i % 997) for i in range(60_000))
+    spark.createDataFrame([(2, text), (1, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+    first, second = sorted(sstable.query(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert (first.doc_id, second.doc_id, second.start, second.n_tokens, second.ids_crc32) == (1, 2, first.n_tokens, len(ids), zlib.crc32(ids.tobytes()))
