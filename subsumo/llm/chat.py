@@ -14,7 +14,7 @@ conversation is one row of the result, hence its own turns (not those of its cop
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -23,15 +23,18 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, hashes): the ordered turns of each conversation and their rolling hashes."""
-    clean = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = clean.distinct().groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-
-    def step(hashes: Column, t: Column) -> Column:
-        before = F.coalesce(F.try_element_at(hashes, F.lit(-1)), F.lit(""))
-        return F.concat(hashes, F.array(F.md5(F.concat(before, F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]))))
+    """(conv_id, turns, hashes): the ordered turns of each conversation and their rolling hashes.
 
-    return grouped.withColumn("hashes", F.aggregate("turns", F.array().cast("array<string>"), step))
+    A turn's hash is of the running sums of two 64-bit hashes of the turns up to it, their places included; so a
+    conversation takes time in proportion to its turns.
+    """
+    clean = turns.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = clean.distinct().withColumn("place", F.row_number().over(order))
+    so_far = [F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("string") for columns in (("place", "role", "text"), ("text", "place", "role"))]
+    hashed = placed.withColumn("hash", F.unhex(F.md5(F.concat_ws(":", F.col("place").cast("string"), *so_far))))
+    grouped = hashed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text", "hash"))).alias("turns"))
+    return grouped.select("conv_id", "turns", F.col("turns.hash").alias("hashes"))
 
 
 def maximal(convs: DataFrame) -> DataFrame:
