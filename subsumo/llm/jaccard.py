@@ -17,8 +17,9 @@ each other. So all pairs that a key brings together are decided, but a group of
 A pair is verified on the shingles of its texts.
 
 Width and threshold are a `Rule`; the query has three words and 90. Below SEGMENTS linked sets may differ so much that segments
-would hold few elements or none. There keys are prefixes instead: linked sets share one of the n - ceil(least n / 100) + 1
-first elements of each in any common order, here by hash with often seen shingles last. Such pairs meet a parity sketch first,
+hold few elements, some none and some only common ones. There the universe is cut into more segments than the pigeonhole
+principle asks for, and each set takes the cheapest of its own in an order that all sets share: those with most rare shingles
+first, empty ones last. The first H + 1 of linked sets share one (`tokens`). Pairs meet a parity sketch before their texts do,
 which rules out none that links.
 
 Texts that are null or without words have no shingles and link with nothing. Components take the smallest non-null
@@ -44,7 +45,7 @@ from .components import components
 #: Links are 100 * intersection >= LEAST * union.
 LEAST = 90
 WIDTH = 3
-#: Keys are of segments from this threshold on, of prefixes below.
+#: From this threshold on sets have keys of all segments, below of the cheapest ones.
 SEGMENTS = 90
 #: One of SAMPLED documents is looked at for shingles that OFTEN of them or more have; the most frequent, up to COMMON, are put last.
 SAMPLED, OFTEN, COMMON = 8, 3, 200_000
@@ -52,6 +53,8 @@ SAMPLED, OFTEN, COMMON = 8, 3, 200_000
 BITS = 1024
 #: Chance that an element of a segment agrees in two unrelated sets, and the number of sets, of the cost model.
 AGREEMENT, PARTNERS = 0.3, 1e4
+#: Below SEGMENTS: segments without deletions, in hundredths of those that the pigeonhole principle asks for.
+CHOICE = 125
 #: Families of up to SMALL members with ELEMENTS shingles in all are decided within a task after the first round; in the
 #: groups of larger ones PIVOTS members a round meet the others.
 SMALL, ELEMENTS, PIVOTS = 4096, 2_000_000, 256
@@ -74,6 +77,8 @@ class Rule(NamedTuple):
 
 
 OWN = Rule()
+#: Hashes of common shingles, ascending, and their ranks, the most frequent last.
+Often = tuple[np.ndarray, np.ndarray]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -128,45 +133,66 @@ def hashed_set(words: list[bytes], rule: Rule = OWN) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def band(k: int) -> tuple[int, int]:
+def band(k: int, least: int = LEAST) -> tuple[int, int]:
     """Smallest and largest size of band k: three times the reach of a link."""
-    low = 1 if k == 0 else band(k - 1)[1] + 1
-    return low, max(low, low * 100**3 // LEAST**3)
+    low = 1 if k == 0 else band(k - 1, least)[1] + 1
+    return low, max(low, low * 100**3 // least**3)
 
 
 @lru_cache(maxsize=100_000)
-def band_of(size: int) -> int:
+def band_of(size: int, least: int = LEAST) -> int:
     k = 0
-    while band(k)[1] < size:
+    while band(k, least)[1] < size:
         k += 1
     return k
 
 
-def most_errors(k: int) -> int:
-    """Elements in which linked sets differ at most, the smaller in band k: |A + B| - 2 |A & B|, with |B| <= 100 |A| / LEAST."""
-    low = band(k)[1]
-    return low * (100 - LEAST) // LEAST
+def errors(size: int, least: int = LEAST) -> int:
+    """Elements in which linked sets differ at most, the smaller of `size`: |A + B| - 2 |A & B|, with |B| <= 100 |A| / least."""
+    return size * (100 - least) // least
 
 
-@lru_cache(maxsize=None)
-def allocation(k: int) -> tuple[int, int]:
-    """(segments, how many of them with deletions) of band k, the cheapest that the pigeonhole principle admits."""
-    need, n = most_errors(k) + 1, band(k)[1]
+def most_errors(k: int, least: int = LEAST) -> int:
+    """The same, the smaller in band k."""
+    return errors(band(k, least)[1], least)
+
 
-    def cost(deletions: int) -> float:
-        m = need - deletions
+@lru_cache(maxsize=None)
+def allocation(k: int, rule: Rule = OWN) -> tuple[int, int]:
+    """(segments, how many of them with deletions) of band k, the cheapest that the pigeonhole principle admits. Below SEGMENTS
+    there are more segments without deletions than it asks for, of which each set takes its cheapest (`tokens`)."""
+    need, (low, n) = most_errors(k, rule.least) + 1, band(k, rule.least)
+    if rule.least >= SEGMENTS:
+
+        def cost(deletions: int) -> float:
+            m = need - deletions
+            size = n / m
+            rows = m - deletions + deletions * (1 + size)
+            chance = (m - deletions) * AGREEMENT**size + deletions * (1 + size) * AGREEMENT ** max(size - 1, 0)
+            return rows + PARTNERS * chance
+
+        best = min(range(need // 2 + 1), key=cost)
+        return need - best, best
+    agreement = AGREEMENT ** ((rule.width - 1) / 2)
+
+    def spare(deletions: int) -> int:
+        return -(-(need - 2 * deletions) * CHOICE // 100)
+
+    def expense(deletions: int) -> float:
+        m = spare(deletions) + deletions
         size = n / m
-        rows = m - deletions + deletions * (1 + size)
-        chance = (m - deletions) * AGREEMENT**size + deletions * (1 + size) * AGREEMENT ** max(size - 1, 0)
-        return rows + PARTNERS * chance
+        rows = need - 2 * deletions + deletions * (1 + size)
+        # sizes of segments scatter: agreement ** size on the average; no taken one is empty, but one with deletions may be
+        average = agreement ** (size - 1) if m == 1 else np.exp(-low / m * (1 - agreement)) / agreement
+        return rows + PARTNERS * ((need - 2 * deletions) * agreement ** max(low / m, 1) + deletions * (1 + size) * average)
 
-    best = min(range(need // 2 + 1), key=cost)
-    return need - best, best
+    best = min(range(need // 2 + 1), key=expense)
+    return spare(best) + best, best
 
 
-def keys(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def keys(s: np.ndarray, k: int, rule: Rule = OWN, often: Often | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the set `s` (ascending hashes) for the pairs of band k: of its segments, and of their one-deletion neighbourhoods."""
-    m, deletions = allocation(k)
+    m, deletions = allocation(k, rule)
     segment = ((s >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
     g = mixed(s + M3)
     ends = np.searchsorted(segment, np.arange(m + 1))
@@ -174,20 +200,42 @@ def keys(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     subset = sums[1:] - sums[:-1]
     salt = mixed(np.arange(m, dtype=U64) * M2 + np.full(1, k, U64) * M1 + M3)
     exact = mixed(subset * M3 + salt)
-    if not deletions:
-        return exact, np.zeros(0, U64)
     at = segment[: ends[deletions]]
-    return exact, mixed((subset[at] - g[: len(at)]) * M3 + salt[at])
+    deleted = mixed((subset[at] - g[: len(at)]) * M3 + salt[at]) if deletions else np.zeros(0, U64)
+    if often is not None:
+        differ = errors(min(len(s), band(k, rule.least)[1]), rule.least)
+        exact = np.concatenate([exact[:deletions], tokens(s, segment, exact, deletions, differ + 1 - 2 * deletions, often)])
+    return exact, deleted
+
+
+def tokens(s: np.ndarray, segment: np.ndarray, exact: np.ndarray, deletions: int, count: int, often: Often) -> np.ndarray:
+    """The `count` cheapest keys of the segments without deletions: those with most elements outside `often` first, then by the
+    rarest element, the empty ones last.
+
+    The order depends on a segment's content alone, so it is the same for all sets. Where linked sets differ in fewer than
+    `count` of these segments, each has fewer than `count` contents that the other lacks, and the first `count` of both share
+    one: the earlier of the two ends of these beginnings lies within the other's, and one content up to it is common.
+    """
+    common, rank = often
+    m, order = len(exact), np.zeros(len(s), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        order = np.where(common[at] == s, rank[at], 0)
+    rare = np.bincount(segment[order == 0], minlength=m)
+    lowest = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, segment, order)
+    chosen = np.lexsort((exact, lowest, -rare))
+    return exact[chosen[chosen >= deletions][: max(count, 0)]]
 
 
-def all_keys(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def all_keys(s: np.ndarray, rule: Rule = OWN, often: Often | None = None) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     if not n:
         return np.zeros(0, U64), np.zeros(0, U64)
-    k = band_of(n)
-    found = [keys(s, k)]
-    if k and LEAST * n <= 100 * band(k - 1)[1]:
-        found.append(keys(s, k - 1))
+    k = band_of(n, rule.least)
+    found = [keys(s, k, rule, often)]
+    if k and rule.least * n <= 100 * band(k - 1, rule.least)[1]:
+        found.append(keys(s, k - 1, rule, often))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -214,9 +262,9 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *arrays]).view(np.int64)))
 
 
-def common_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, rule: Rule) -> Often:
     """Shingles (hashes, ascending) that many documents have, and their ranks, the most frequent last. They settle the order
-    of prefixes, hence work, not results. Whole sets are counted: with common shingles last, any other may come into a prefix."""
+    of segments, hence work, not results. Whole sets are counted: with common shingles last, any other may come first."""
 
     @F.arrow_udf("array<long>")
     def every(texts: pa.Array) -> pa.Array:
@@ -233,8 +281,8 @@ def common_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray
 FACTS = "struct<digest:binary,n:int,exact:array<long>,deleted:array<long>,sketch:binary>"
 
 
-def facts(text: Column, rule: Rule = OWN, often: tuple[np.ndarray, np.ndarray] | None = None) -> Column:
-    """Digest of the word sequence, size of the set, and its keys; of prefixes where `often` is given, with a sketch."""
+def facts(text: Column, rule: Rule = OWN, often: Often | None = None) -> Column:
+    """Digest of the word sequence, size of the set, and its keys; of the cheapest segments where `often` is given, with a sketch."""
 
     @F.arrow_udf(FACTS)
     def measure(texts: pa.Array) -> pa.Array:
@@ -242,7 +290,7 @@ def facts(text: Column, rule: Rule = OWN, often: tuple[np.ndarray, np.ndarray] |
         for text in (t.as_py() for t in texts):
             words = words_of(text)
             s = hashed_set(words, rule)
-            e, d = all_keys(s) if often is None else (prefix(s, rule, *often), np.zeros(0, U64))
+            e, d = all_keys(s, rule, often)
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             sizes.append(len(s))
             exact.append(e)
@@ -295,8 +343,8 @@ def possible(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
             out[at : at + ROWS] = np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int32)
         return pa.array(out, pa.int32())
 
-    known = narrow(sketches, BROADCAST_PAIRS)
-    left, right = (known.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    # Left to Spark's size-checked broadcasts: a sketch is many times an id.
+    left, right = (sketches.select(F.col("uid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("d", differing(F.col("sketch_a"), F.col("sketch_b")))
     return saved(both.where((100 + rule.least) * (F.col("n_a") + F.col("n_b") - F.col("d")) >= 2 * rule.least * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "possible")
 

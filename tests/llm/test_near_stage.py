@@ -80,3 +80,48 @@ def test_common_passage_stays_out_of_prefixes(spark):
         assert not shared & set(jaccard.prefix(jaccard.hashed_set(jaccard.words_of(text), rule), rule, common, rank).tolist())
     s = np.arange(10, dtype=np.uint64)
     assert jaccard.prefix(s, jaccard.Rule(5, 10), s[4:7], np.array([2, 3, 1])).tolist() == [0, 1, 2, 3, 7, 8, 9, 6, 4, 5]
+
+
+def test_linked_sets_share_a_key_below_ninety():
+    """Segments of the universe, whatever shingles are common: the keys of the pipeline's rule too."""
+    rng, rule, seen = random.Random(7), jaccard.Rule(5, 80), 0
+    for _ in range(1500):
+        n = max(1, rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 16, 31, 62, 64, 124, 250, 475]) + rng.randint(-1, 1))
+        a, gone = {rng.getrandbits(64) for _ in range(n)}, rng.randint(0, n // 4)
+        b = set(rng.sample(sorted(a), max(1, n - gone))) | {rng.getrandbits(64) for _ in range(rng.randint(0, n // 4 - gone))}
+        if jaccard.linked(a, b, rule):
+            seen += 1
+            common = np.array(sorted(rng.sample(sorted(a | b), rng.choice([0, n // 3, n * 9 // 10, len(a | b)]))), np.uint64)
+            often = common, np.array(rng.sample(range(1, len(common) + 1), len(common)), np.int64)
+            (ea, da), (eb, db) = ([set(x.tolist()) for x in jaccard.all_keys(np.array(sorted(s), np.uint64), rule, often)] for s in (a, b))
+            assert ea & eb or ea & db or da & eb
+    assert seen > 900
+
+
+def test_deletions_are_weighed():
+    """Bands below ninety have one-deletion neighbourhoods where those are the cheapest."""
+    rule = jaccard.Rule(5, 80)
+    for k in range(12):
+        m, deletions = jaccard.allocation(k, rule)
+        assert m + deletions >= jaccard.most_errors(k, rule.least) + 1
+    assert jaccard.allocation(2, rule) == (1, 1)  # sets of four to seven
+
+
+def test_documents_with_a_common_part_hardly_meet(spark, monkeypatch):
+    """Groups that share a quarter of their words, too small to be seen as common: they were compared with each other, pair by pair."""
+    rng, seen, stored = random.Random(8), {}, jaccard.saved
+
+    def counted(df, name):
+        out = stored(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    monkeypatch.setattr(jaccard, "SMALL", 6)
+    texts = []
+    for g in range(20):
+        part = " ".join("s%d_%d" % (g, i) for i in range(30))
+        texts += [part + " " + " ".join("u%d" % rng.randrange(10**9) for _ in range(90)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard.one_of_each(docs, corpus_pipeline.NEAR).count() == len(texts)
+    assert seen.get("met", 0) + seen.get("pairs", 0) < len(texts)
