@@ -47,9 +47,11 @@ KEPT: dict = {}
 
 
 def held(key, make: Callable):
-    """What `make` gives, kept until the worker turns to another key."""
+    """What `make` gives, kept until the worker turns to another key. Then what was kept goes back to the system before."""
     if key not in KEPT:
         KEPT.clear()
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
         KEPT[key] = make()
     return KEPT[key]
 
