@@ -241,7 +241,7 @@ def all_keys(s: np.ndarray, rule: Rule = OWN, often: Often | None = None) -> tup
 
 def prefix(s: np.ndarray, rule: Rule, common: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
     """The first elements of the set `s` (ascending hashes), those in `common` (ascending too) last, by `rank` if given;
-    linked sets share one."""
+    linked sets share one. Keys no longer use it; tests state this bound."""
     n = len(s)
     if n and len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
